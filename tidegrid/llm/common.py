@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -45,7 +47,18 @@ def discard(*staged: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+    """Readies the session for Arrow functions: small batches, and this package on every executor's path."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    sc = spark.sparkContext
+    if getattr(sc, "_tidegrid_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    at = Path(tempfile.mkdtemp(prefix="tidegrid-ship-")) / "tidegrid.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(at))
+    sc._tidegrid_shipped = True
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
 from .licenses import scan_licences
 from .lines import clean_lines
+from .rans import read_token_blocks, write_token_blocks
+from .quality import fit, score_quality
 from .shards import shard_by_bytes
 from .urls import filter_urls
 
@@ -15,6 +19,21 @@ URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net
 DOC_PATH = "concat_ws('/', source, lang, concat('v', doc_id div 4096), CASE WHEN doc_id % 16 = 0 THEN 'LICENSE' ELSE concat('p', doc_id div 64, '/f', doc_id, '.txt') END)"
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer's file: $TIDEGRID_TOKENIZERS, else the public_tokenizers package."""
+    folder = os.environ.get("TIDEGRID_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks, frequencies = write_token_blocks(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0)
+    return read_token_blocks(blocks, frequencies).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents").withColumn("path", F.expr(DOC_PATH)))
 
@@ -29,10 +48,17 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), labels, URL_RULES)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    out = score_quality(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0).alias("held_out"), "score", "predicted")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_by_bytes(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_licence_scan, op3_line_dedup, op6_url_filter, op8_sharding)}
+QUERIES = {f.__name__: f for f in (op1_token_blocks, op2_licence_scan, op3_line_dedup, op6_url_filter, op7_quality, op8_sharding)}
 ORACLE: dict[str, str] = {}
