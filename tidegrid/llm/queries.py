@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
+from . import bpe
 from .licenses import scan_licences
 from .lines import clean_lines
 from .rans import read_token_blocks, write_token_blocks
@@ -60,5 +61,18 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_blocks, op2_licence_scan, op3_line_dedup, op6_url_filter, op7_quality, op8_sharding)}
+def token_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.read_ranks(tokenizer_file("byte_bpe_50k.tiktoken"))
+    tokens = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, token_pattern())
+    ids = F.filter(F.split("ids", " "), lambda x: x != "")
+    return tokens.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(bpe.decoded(ids, bpe.piece_array(ranks)), 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_blocks, op2_licence_scan, op3_line_dedup, op6_url_filter, op7_quality, op8_sharding, op9_byte_bpe)}
 ORACLE: dict[str, str] = {}

@@ -30,7 +30,7 @@ MAGIC, SCALE_BITS, LOW = b"TGR1", 20, np.uint64(1 << 31)
 BLOCK_IDS, LANES, CHECK_STEPS = 1 << 17, 1024, 64
 #: A space between two characters that are not white space: what byte-level pre-tokenizers never join across.
 SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-ODD_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+ODD_SPACE = re.compile("[" + "".join(map(chr, [9, 11, 12, 13, *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]")
 
 
 def units_of(text: str) -> list[str]:
