@@ -13,6 +13,7 @@ from .lines import clean_lines
 from .rans import read_token_blocks, write_token_blocks
 from .quality import fit, score_quality
 from .shards import shard_by_bytes
+from .webp import stored_media, tail
 from .urls import filter_urls
 
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -74,5 +75,13 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(bpe.decoded(ids, bpe.piece_array(ranks)), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_blocks, op2_licence_scan, op3_line_dedup, op6_url_filter, op7_quality, op8_sharding, op9_byte_bpe)}
+def op10_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = stored_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return media.select(
+        "doc_id", "n_bytes", F.octet_length("samples").cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"),
+        F.crc32(tail(F.col("samples"))).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_token_blocks, op2_licence_scan, op3_line_dedup, op6_url_filter, op7_quality, op8_sharding, op9_byte_bpe, op10_webp_media)}
 ORACLE: dict[str, str] = {}
