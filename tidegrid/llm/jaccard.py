@@ -205,7 +205,8 @@ def _signatures(size: int, num: int, den: int, fragments: int, bits, at: int):
                 ell, light, posted, heavies = prefix(g, shared.holds(g), heavy.holds(g), num, den) if len(g) else (1, 0, g, g)
                 rows.append((class_of(g), len(g), ell, light, posted.tobytes(), heavies.tobytes()))
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(1 - at), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names=["doc_id", "cls", "n_shingles", "ell", "light", "posted", "heavies"])
+            kept = [i for i in range(b.num_columns) if i != at]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names=[*(b.schema.names[i] for i in kept), "cls", "n_shingles", "ell", "light", "posted", "heavies"])
 
     return run
 
@@ -343,7 +344,7 @@ def _heavy_links(lists: DataFrame, links: DataFrame, sets: DataFrame, num: int,
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, cls, n_links: den * intersection >= num * union links two documents.
+    """doc_id, text_hash, n_shingles, component_id, cls, n_links: den * intersection >= num * union links two documents.
 
     cls is the class of equal sets; n_links counts the class's verified links to others. Links within one component
     beyond those that connect it are not searched for.
@@ -351,9 +352,9 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     spark = docs.sparkSession
     small_batches(spark)
     fragments = fragments_for(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
     bits = gram_bits(rows, "text", size, fragments)
-    signed = rows.mapInArrow(_signatures(size, num, den, fragments, spark.sparkContext.broadcast(bits), 1), "doc_id long, cls long, n_shingles long, ell int, light int, posted binary, heavies binary")
+    signed = rows.mapInArrow(_signatures(size, num, den, fragments, spark.sparkContext.broadcast(bits), 2), "doc_id long, text_hash long, cls long, n_shingles long, ell int, light int, posted binary, heavies binary")
     signed = stage(signed, "signatures")
     known = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = known.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("n_shingles", "ell", "light", "posted", "heavies")])
@@ -387,6 +388,20 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     by_class = roots.join(linked, "root").join(degree, "node", "left").select(F.col("node").alias("cls"), "component", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     by_class = stage(lowest.join(by_class, "cls", "left").select("cls", F.coalesce("component", "low").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "class-components")
-    out = signed.select("doc_id", "n_shingles", "cls").join(by_class, "cls", "left")
+    out = signed.select("doc_id", "text_hash", "n_shingles", "cls").join(by_class, "cls", "left")
     alone = F.col("n_shingles") == 0
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), None).when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "cls", F.when(alone, 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"))
+    return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNull(), None).when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "cls", F.when(alone, 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs without near copies: of each component the lowest (id, text hash) stays, once.
+
+    Rows with an empty set, or a null id, are copies of nothing and all stay.
+    """
+    groups = jaccard_components(docs, id_col=id_col, text_col=text_col, **options)
+    alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
+    kept = groups.where(~alone).groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k.*")
+    kept = stage(kept.withColumn("_once", F.lit(True)).unionByName(groups.where(alone).select("doc_id", "text_hash").distinct().withColumn("_once", F.lit(False))), "kept-documents")
+    keyed = docs.withColumn("_hash", F.xxhash64(F.col(text_col).cast("string")))
+    found = keyed.join(kept, keyed[id_col].eqNullSafe(kept["doc_id"]) & (keyed["_hash"] == kept["text_hash"])).select(*[keyed[c] for c in [*docs.columns, "_hash"]], "_once")
+    return found.where("_once").dropDuplicates([id_col, "_hash"]).unionByName(found.where("NOT _once")).select(docs.columns)

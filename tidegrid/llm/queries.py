@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
 from . import bpe
+from .decontaminate import find_leaks
+from .jaccard import jaccard_components
 from .licenses import scan_licences
 from .lines import clean_lines
 from .rans import read_token_blocks, write_token_blocks
@@ -44,6 +46,16 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", "item_id", "start_word", "n_words", "similarity")
+
+
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = jaccard_components(table(spark, sf_dir, "documents"), size=4, num=85, den=100)
+    return groups.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes: a label of the same number; a page is bad where its quality is 0 or it is toxic."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
@@ -83,5 +95,5 @@ def op10_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_blocks, op2_licence_scan, op3_line_dedup, op6_url_filter, op7_quality, op8_sharding, op9_byte_bpe, op10_webp_media)}
+QUERIES = {f.__name__: f for f in (op1_token_blocks, op2_licence_scan, op3_line_dedup, op4_decontamination, op5_jaccard_join, op6_url_filter, op7_quality, op8_sharding, op9_byte_bpe, op10_webp_media)}
 ORACLE: dict[str, str] = {}
