@@ -1 +1 @@
-
+"""Scalar helpers that the operators share."""
