@@ -2,7 +2,8 @@
 
 Labelled page outcomes are counted per host, registered domain (last two labels) and suffix (last label).
 Each level's rate is shrunk towards its parent's posterior mean by a beta-binomial prior whose strength is
-estimated from the spread of that level's own rates (method of moments). A host is blocked when the lower
+estimated from the spread of that level's own rates (method of moments); above the suffixes stands the overall
+rate, with one bad page in ten to start from. A host is blocked when the lower
 credible bound of its bad rate exceeds a threshold. Counts are sums, so a host with a third of all pages is
 partially aggregated before any shuffle, and only one row per host is joined back.
 
@@ -63,7 +64,7 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, page_col: str = "page
     )
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("k").alias("dk"))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dk").alias("sk"))
-    root = suffixes.agg(((F.coalesce(F.sum("sk"), F.lit(0)) + 1) / (F.coalesce(F.sum("sn"), F.lit(0)) + 2)).alias("p0"))  # a single row
+    root = suffixes.agg(((F.coalesce(F.sum("sk"), F.lit(0)) + 1) / (F.coalesce(F.sum("sn"), F.lit(0)) + 10)).alias("p0"))  # a single row
     one = root.crossJoin(_strength(suffixes, "sk", "sn").withColumnRenamed("s", "s1")).crossJoin(_strength(domains, "dk", "dn").withColumnRenamed("s", "s2")).crossJoin(_strength(hosts, "k", "n").withColumnRenamed("s", "s3"))
     one = F.broadcast(one)  # four single-row aggregates side by side
     levels = (
