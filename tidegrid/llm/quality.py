@@ -125,7 +125,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], dim: int = 10, epochs:
     return Model(vectors @ (w[1] - w[0]), float(b[1] - b[0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 6000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 2500) -> Model:
     """Learns label_col from at most max_rows labelled rows outside the held-out fifth (crc32(id) mod 5 = 0)."""
     small_batches(docs.sparkSession)
     key = F.col(id_col).cast("string")
