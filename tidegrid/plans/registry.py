@@ -76,12 +76,15 @@ GRID = f"""{BUCKETS}, e AS (SELECT senior_id, min(bucket) AS lo, max(bucket) AS
  t AS (SELECT senior_id, unnest(generate_series(lo, hi, INTERVAL '1 hour')) AS bucket FROM e),
  g AS (SELECT t.senior_id, t.bucket, b.* EXCLUDE (senior_id, bucket) FROM t LEFT JOIN b USING (senior_id, bucket))"""
 AT = "strftime(bucket, '%Y-%m-%d %H:%M:%S') AS bucket"
-_at = truncated_text("bucket").alias("bucket")
+
+
+def _at():
+    return truncated_text("bucket").alias("bucket")
 
 
 @query(f"{BUCKETS} SELECT senior_id, {AT}, round(temperature, 4) AS temperature, round(heartrate, 4) AS heartrate, round(sbp, 4) AS sbp, round(dbp, 4) AS dbp, round(pulse_pressure, 4) AS pulse_pressure, round(steps, 4) AS steps FROM b")
 def bucket_pivot(spark, d):
-    return _buckets(spark, d).select("senior_id", _at, *[_r(c) for c in ("temperature", "heartrate", "sbp", "dbp", "pulse_pressure", "steps")])
+    return _buckets(spark, d).select("senior_id", _at(), *[_r(c) for c in ("temperature", "heartrate", "sbp", "dbp", "pulse_pressure", "steps")])
 
 
 @query(f"{GRID} SELECT senior_id, count(*) AS n, count(heartrate) AS seen, round(sum(coalesce(steps, 0)), 3) AS steps FROM g GROUP BY 1")
@@ -94,18 +97,18 @@ W4 = "OVER (PARTITION BY senior_id ORDER BY bucket RANGE BETWEEN INTERVAL {} PRE
 
 @query(f"{GRID} SELECT senior_id, {AT}, round(stddev_samp(heartrate) {W4.format('4 HOUR')}, 4) AS hr_volatility FROM g")
 def rolling_std_4h(spark, d):
-    return _grid(spark, d).select("senior_id", _at, F.round(rolling.range_std("heartrate", "senior_id", "bucket", "4 HOUR"), 4).alias("hr_volatility"))
+    return _grid(spark, d).select("senior_id", _at(), F.round(rolling.range_std("heartrate", "senior_id", "bucket", "4 HOUR"), 4).alias("hr_volatility"))
 
 
 @query(f"{GRID}, s AS (SELECT senior_id, bucket, regr_slope(sbp, epoch(bucket)) {W4.format('3 HOUR')} AS v FROM g) SELECT senior_id, {AT}, round(CASE WHEN isnan(v) THEN NULL ELSE v END * 3600, 4) AS bp_trend FROM s")
 def rolling_slope_3h(spark, d):
     s = rolling.range_slope(_grid(spark, d), "sbp", "senior_id", "bucket", "3 HOUR", "v")
-    return s.select("senior_id", _at, F.round(nan_to_null("v") * 3600, 4).alias("bp_trend"))
+    return s.select("senior_id", _at(), F.round(nan_to_null("v") * 3600, 4).alias("bp_trend"))
 
 
 @query(f"{GRID} SELECT senior_id, {AT}, round(sum(coalesce(steps, 0)) {W4.format('6 HOUR')}, 4) AS steps_6h FROM g")
 def rolling_sum_6h(spark, d):
-    return _grid(spark, d).select("senior_id", _at, F.round(rolling.range_sum("steps", "senior_id", "bucket", "6 HOUR"), 4).alias("steps_6h"))
+    return _grid(spark, d).select("senior_id", _at(), F.round(rolling.range_sum("steps", "senior_id", "bucket", "6 HOUR"), 4).alias("steps_6h"))
 
 
 LAST = "date_diff('minute', max(latest_{0}) OVER (PARTITION BY senior_id ORDER BY bucket ROWS UNBOUNDED PRECEDING), bucket) AS since_{0}"
@@ -114,7 +117,7 @@ LAST = "date_diff('minute', max(latest_{0}) OVER (PARTITION BY senior_id ORDER B
 @query(f"{GRID} SELECT senior_id, {AT}, {', '.join(LAST.format(k) for k in KINDS.values())} FROM g")
 def time_since_last(spark, d):
     timers = rolling.since_last({f"since_{k}": f"latest_{k}" for k in KINDS.values()}, "senior_id", "bucket")
-    return _grid(spark, d).select("senior_id", _at, *[c.alias(k) for k, c in timers.items()])
+    return _grid(spark, d).select("senior_id", _at(), *[c.alias(k) for k, c in timers.items()])
 
 
 @query("WITH x AS (SELECT user_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events WHERE event_type = 'error') SELECT event_id, user_id FROM x WHERE before IS NULL OR ts > before + INTERVAL 24 HOUR")
@@ -143,12 +146,12 @@ def _labelled(spark, d):
 
 @query(f"{LABELS} SELECT senior_id, {AT}, recent_event_burden FROM l")
 def event_burden_48h(spark, d):
-    return _labelled(spark, d).select("senior_id", _at, "recent_event_burden")
+    return _labelled(spark, d).select("senior_id", _at(), "recent_event_burden")
 
 
 @query(f"{LABELS} SELECT senior_id, {AT}, label_1, label_2, label_3 FROM l")
 def lookahead_labels(spark, d):
-    return _labelled(spark, d).select("senior_id", _at, "label_1", "label_2", "label_3")
+    return _labelled(spark, d).select("senior_id", _at(), "label_1", "label_2", "label_3")
 
 
 @query(f"WITH a AS ({ALARMS}), m AS ({READINGS}) SELECT a.alert_id, count(m.id) AS n, round(avg(CASE WHEN m.type = 'Heartrate' THEN m.value END), 4) AS hr FROM a LEFT JOIN m ON a.senior_id = m.senior_id AND m.date > a.alert_date - INTERVAL 2 HOUR AND m.date <= a.alert_date GROUP BY 1")
@@ -418,7 +421,7 @@ def flatten_stats(spark, d):
 
 @query(f"{GRID} SELECT senior_id, {AT} FROM g WHERE coalesce(abs(heartrate) > 0.000001, false) OR coalesce(abs(steps) > 0.000001, false)")
 def active_mask(spark, d):
-    return flatten.active(_grid(spark, d), DYN).select("senior_id", _at)
+    return flatten.active(_grid(spark, d), DYN).select("senior_id", _at())
 
 
 @query(f"{GRID} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg({c}), 4) AS mean, round(CASE WHEN stddev_pop({c}) < 0.000001 THEN 1 ELSE stddev_pop({c}) END, 4) AS std FROM g" for c in ("heartrate", "sbp", "temperature")))
@@ -429,13 +432,13 @@ def norm_stats(spark, d):
 @query(f"{GRID}, s AS (SELECT avg(heartrate) AS m, stddev_pop(heartrate) AS s FROM g WHERE senior_id % 2 = 0) SELECT senior_id, {AT}, round((coalesce(heartrate, m) - m) / s, 4) AS heartrate FROM g, s")
 def normalise_train(spark, d):
     g = _grid(spark, d)
-    return flatten.normalise(g, g.where("senior_id % 2 = 0"), ["heartrate"]).select("senior_id", _at, _r("heartrate"))
+    return flatten.normalise(g, g.where("senior_id % 2 = 0"), ["heartrate"]).select("senior_id", _at(), _r("heartrate"))
 
 
 @query(f"{BUCKETS}, s AS (SELECT median(heartrate) AS m FROM b) SELECT senior_id, {AT}, round(coalesce(heartrate, m), 4) AS heartrate FROM b, s")
 def median_impute(spark, d):
     b = _buckets(spark, d)
-    return flatten.median_impute(b, b, ["heartrate"]).select("senior_id", _at, _r("heartrate"))
+    return flatten.median_impute(b, b, ["heartrate"]).select("senior_id", _at(), _r("heartrate"))
 
 
 SCORED = "x AS (SELECT value AS s, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS y FROM events)"
@@ -544,7 +547,7 @@ def entity_universe(spark, d):
 
 @query(f"{GRID} SELECT senior_id, {AT}, round(last_value(heartrate IGNORE NULLS) OVER (PARTITION BY senior_id ORDER BY bucket ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 4) AS heartrate FROM g")
 def bounded_ffill(spark, d):
-    return clean.forward_fill(_grid(spark, d), "senior_id", "bucket", ["heartrate"], 4).select("senior_id", _at, _r("heartrate"))
+    return clean.forward_fill(_grid(spark, d), "senior_id", "bucket", ["heartrate"], 4).select("senior_id", _at(), _r("heartrate"))
 
 
 @query("SELECT event_id, (SELECT max_by(v.value, (v.ts, v.event_id)) FROM events v WHERE v.user_id = e.user_id AND v.event_type = 'click' AND v.ts <= e.ts) AS last_click FROM events e WHERE event_type = 'error'")
@@ -581,5 +584,5 @@ def feature_matrix(spark, d):
         F.round(safe_div("heartrate", "dbp"), 4).alias("shock_index"), dow_sunday0("bucket").alias("day_of_week"), "recent_event_burden", "label_1", "label_2", "label_3",
     )
     x = x.join(risks.withColumnRenamed("id", "senior_id"), "senior_id", "left").join(people.withColumnRenamed("id", "senior_id"), "senior_id", "left")
-    first = ["senior_id", _at, *[_r(c) for c in ("temperature", "heartrate", "sbp", "dbp", "pulse_pressure", "steps")], "hr_volatility", "bp_trend", "hour", "hour_sin", "hour_cos", "is_night", "steps_rolling_sum_6h"]
+    first = ["senior_id", _at(), *[_r(c) for c in ("temperature", "heartrate", "sbp", "dbp", "pulse_pressure", "steps")], "hr_volatility", "bp_trend", "hour", "hour_sin", "hour_cos", "is_night", "steps_rolling_sum_6h"]
     return x.select(*first, *timers, *[F.coalesce(c, F.lit(0)).alias(c) for c in RISKS], "age", "gender", "shock_index", "day_of_week", "recent_event_burden", "label_1", "label_2", "label_3")
