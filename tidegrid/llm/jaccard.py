@@ -42,9 +42,9 @@ WANTED_BITS = 24
 
 
 class Shingler:
-    """Sorted distinct hashes of a text's word n-grams; remembers the hashes of at most limit words."""
+    """Sorted distinct hashes of a text's word n-grams; remembers the hashes of about limit words."""
 
-    def __init__(self, size: int, limit: int = 1 << 19):
+    def __init__(self, size: int, limit: int = 200_000):
         self.size, self.limit, self.known = size, limit, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -112,7 +112,7 @@ def _by_fragment(values: np.ndarray, grams: np.ndarray, shift: np.uint64, fragme
     return [(f, int(edges[f]), int(edges[f + 1])) for f in range(fragments) if edges[f] < edges[f + 1]]
 
 
-def _counts(size: int, fragments: int, flush_at: int = 1 << 22):
+def _counts(size: int, fragments: int, flush_at: int = 3 << 19):
     shift = np.uint64(64 - fragments.bit_length() + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +171,7 @@ def _frequent(fragments: int):
 def gram_bits(docs: DataFrame, text_col: str, size: int, fragments: int) -> tuple[np.ndarray, np.ndarray]:
     """Bloom bytes of the n-grams in two or more documents, and of the heavy ones; counted over all documents."""
     parts = docs.select(text_col).mapInArrow(_counts(size, fragments), "fragment int, grams binary, counts binary")
-    dealt = parts.repartitionByRange(fragments, "fragment").sortWithinPartitions("fragment")
+    dealt = parts.repartition(fragments, "fragment").sortWithinPartitions("fragment")  # by range, Spark would make all parts twice to sample them
     got = dealt.mapInArrow(_frequent(fragments), "fragment int, shared binary, heavy binary").collect()  # fixed size in all
     shared, heavy = np.zeros((1 << SHARED_BITS) // 8, np.uint8), np.zeros((1 << HEAVY_BITS) // 8, np.uint8)
     for r in got:
@@ -317,10 +317,10 @@ def _linked(num: int, den: int):
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
+    """The pairs (a, b) whose sets reach the threshold, staged."""
     x = pairs.join(sets.select(F.col("cls").alias("b"), F.col("grams").alias("y")), "b")
     both = x.join(sets.select(F.col("cls").alias("a"), F.col("grams").alias("x")), "a").select("a", "b", "x", "y")
-    return both.mapInArrow(_linked(num, den), "a long, b long")
+    return stage(both.mapInArrow(_linked(num, den), "a long, b long"), "verified")
 
 
 def _heavy_links(lists: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -350,7 +350,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     beyond those that connect it are not searched for.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 64)  # rows hold whole sets, or a task's share of a fragment
     fragments = fragments_for(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
     bits = gram_bits(rows, "text", size, fragments)
@@ -361,7 +361,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     classes = stage(classes.where("octet_length(posted) > 0 OR octet_length(heavies) > 0"), "classes")
 
     posts = classes.select("cls", "n_shingles", "ell", "posted").mapInArrow(_postings(fragments), "fragment int, posts binary")
-    partial = posts.repartitionByRange(fragments, "fragment").sortWithinPartitions("fragment").mapInArrow(_partial_overlaps(num, den), "a long, b long, part int, need int")
+    partial = posts.repartition(fragments, "fragment").sortWithinPartitions("fragment").mapInArrow(_partial_overlaps(num, den), "a long, b long, part int, need int")
     light = stage(partial.groupBy("a", "b").agg(F.sum("part").alias("shared"), F.max("need").alias("need")).where("shared >= need").select("a", "b"), "light-pairs")
 
     def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,7 +379,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     sets = rows.where("doc_id IS NOT NULL").select("text").mapInArrow(_sets(size, spark.sparkContext.broadcast(_wanted_bits(wanted))), "cls long, grams binary")
     sets = stage(sets.groupBy("cls").agg(F.first("grams").alias("grams")), "sets")
 
-    links = stage(verified(light, sets, num, den), "links-0")
+    links = verified(light, sets, num, den)
     links = _heavy_links(lists_, links, sets, num, den)
     discard(lists, lists_, light, sets, classes)
     roots = components(links)
