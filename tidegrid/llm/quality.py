@@ -1,8 +1,8 @@
 """Quality classifier: supervised embeddings of hashed words, word pairs and character n-grams.
 
-A document is the mean of the learned vectors of its features (each word, the 3 to 5 character n-grams of the
-word between marks, and each pair of neighbouring words, hashed into shared buckets); a softmax layer on top
-gives class probabilities. Training is plain numpy stochastic gradient descent on the driver over at most
+A document is the average of the learned vectors of its features: words, the 3 to 5 character n-grams of words
+between marks, and pairs of neighbouring words, hashed into shared buckets; each of the three kinds is averaged
+by itself and weighs a third. A softmax layer on top gives class probabilities. Training is plain numpy stochastic gradient descent on the driver over at most
 max_rows labelled rows (those of the lowest id hash), whose feature counts are made on the executors. For two
 classes the softmax over a mean of vectors is a logistic of a mean of one number per feature, so scoring adds
 up one number per word (memoised in each worker, at most memo_words of them at a time) and per word pair.
@@ -48,18 +48,35 @@ def pair_features(hashes: np.ndarray) -> np.ndarray:
         return np.where(hashes[:-1] == hashes[1:], SAME, ((mixed * PAIR) >> np.uint64(64 - 18)).astype(np.int64))
 
 
+class _Numbers(dict):
+    """n-gram -> its bucket's number; n-grams are few, as words share them."""
+
+    def __init__(self, value: np.ndarray, limit: int = 1 << 18):
+        super().__init__()
+        self.value, self.limit = value, limit
+
+    def __missing__(self, gram: str) -> float:
+        out = float(self.value[_hash(gram.encode(), 2) % BUCKETS])
+        if len(self) < self.limit:
+            self[gram] = out
+        return out
+
+
 class _Words(dict):
-    """word -> (sum of its features' numbers, number of features, hash); emptied when it holds limit words."""
+    """word -> (its own number, sum of its n-grams' numbers, how many these are, hash); remembers the first limit words."""
 
     def __init__(self, value: np.ndarray, limit: int):
         super().__init__()
-        self.value, self.limit = value, limit
+        self.value, self.limit, self.grams = value, limit, _Numbers(value)
 
     def __missing__(self, word: str):
-        if len(self) >= self.limit:
-            self.clear()
-        f = word_features(word)
-        out = self[word] = (float(self.value[f].sum()), len(f), _hash(word.encode(), 1))
+        marked = f"<{word}>"
+        size = len(marked)
+        grams = dict.fromkeys([marked[i : i + n] for n in (3, 4, 5) for i in range(size - n + 1)])
+        h = _hash(word.encode(), 1)
+        out = (float(self.value[h % BUCKETS]), sum(map(self.grams.__getitem__, grams)), max(1, len(grams)), h)
+        if len(self) < self.limit and size < 64:
+            self[word] = out
         return out
 
 
@@ -75,26 +92,37 @@ class Model:
             if not found:
                 out[i] = self.bias
                 continue
-            sums, counts, hashes = zip(*found, strict=True)
-            pairs = pair_features(np.array(hashes, np.uint64))
-            out[i] = (sum(sums) + float(self.value[pairs].sum())) / (sum(counts) + len(pairs)) + self.bias
+            own, grams, counts, hashes = zip(*found, strict=True)
+            kinds = [sum(own) / len(own), sum(grams) / sum(counts)]
+            if len(hashes) > 1:
+                kinds.append(float(self.value[pair_features(np.array(hashes, np.uint64))].mean()))
+            out[i] = sum(kinds) / len(kinds) + self.bias
         return 1 / (1 + np.exp(-np.clip(out, -60, 60)))
 
 
+def document_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, weights of sum 1) of a whole text; both empty without words."""
+    words = (text or "").split()
+    if not words:
+        return np.empty(0, np.int64), np.empty(0, np.float32)
+    features = [word_features(w) for w in words]
+    kinds = [np.array([f[0] for f in features], np.int64), np.array([x for f in features for x in f[1:]], np.int64)]
+    if len(words) > 1:
+        kinds.append(pair_features(np.array([_hash(w.encode(), 1) for w in words], np.uint64)))
+    buckets, where = np.unique(np.concatenate(kinds), return_inverse=True)
+    weights = np.concatenate([np.full(len(k), 1 / (len(k) * len(kinds))) for k in kinds])
+    return buckets, np.bincount(where, weights).astype(np.float32)
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, counts = [], []
-        for t in b.column("text").to_pylist():
-            words = (t or "").split()
-            flat = [x for w in words for x in word_features(w)]
-            pairs = pair_features(np.array([_hash(w.encode(), 1) for w in words], np.uint64)) if words else np.empty(0, np.int64)
-            f, c = np.unique(np.concatenate([np.array(flat, np.int64), pairs]), return_counts=True)
-            ids.append(f.astype("<i4").tobytes()), counts.append(c.astype("<i4").tobytes())
-        yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["y", "ids", "counts"])
+        made = [document_features(t) for t in b.column("text").to_pylist()]
+        ids, weights = [f.astype("<i4").tobytes() for f, _ in made], [w.astype("<f4").tobytes() for _, w in made]
+        yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(ids, pa.binary()), pa.array(weights, pa.binary())], names=["y", "ids", "weights"])
 
 
 def train(rows: list[tuple[int, np.ndarray, np.ndarray]], dim: int = 10, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> Model:
-    """rows: (label 0 or 1, feature buckets, their counts)."""
+    """rows: (label 0 or 1, feature buckets, their weights of sum 1)."""
     labels = np.array([y for y, _, _ in rows])
     if len(set(labels.tolist())) < 2:
         share = (labels.sum() + 1) / (len(labels) + 2)
@@ -106,12 +134,11 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], dim: int = 10, epochs:
     steps, k = epochs * len(rows), 0
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            y, ids, counts = rows[i]
+            y, ids, share = rows[i]
             lr = np.float32(rate * (1 - k / steps))
             k += 1
             if not len(ids):
                 continue
-            share = (counts / counts.sum()).astype(np.float32)
             h = share @ vectors[ids]
             z = w @ h + b
             p = np.exp(z - z.max())
@@ -120,7 +147,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], dim: int = 10, epochs:
             back = w.T @ g
             w -= lr * np.outer(g, h)
             b -= lr * np.float32(0.1) * g
-            # each feature's gradient is its share; scaling by the number of features keeps rare ones moving
+            # a feature's gradient is its share; scaling by the number of features keeps rare ones moving
             vectors[ids] -= (lr * np.minimum(share * np.float32(len(ids)), 4) * np.float32(0.05))[:, None] * back
     return Model(vectors @ (w[1] - w[0]), float(b[1] - b[0]))
 
@@ -133,24 +160,33 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     told = told.groupBy(F.col(id_col).alias("_id")).agg(F.round(F.avg(label_col)).cast("int").alias("y"))
     picked = told.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "_id")  # max_rows rows
-    rows = sample.select("_id", "y", "text").mapInArrow(lambda it: _counted(it), "y int, ids binary, counts binary").collect()
-    rows = [(int(r["y"] > 0), np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["counts"], "<i4")) for r in rows]
-    return train(sorted(rows, key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes())))
+    rows = sample.select("_id", "y", "text").mapInArrow(lambda it: _counted(it), "y int, ids binary, weights binary").collect()
+    rows = [(int(r["y"] > 0), np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["weights"], "<f4")) for r in rows]
+    return train(sorted(rows, key=lambda r: (r[0], len(r[1]), zlib.crc32(r[1]), zlib.crc32(r[2]))))  # an order of its own, whatever the partitions
 
 
-def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, memo_words: int = 1 << 18) -> DataFrame:
-    """All columns of docs, plus score (0 to 1) and predicted (1 at or above threshold); these replace columns of their names."""
+_memos: dict = {}  # of one worker: the words of the model that it scores with
+
+
+def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, memo_words: int = 300_000, keep_text: bool = True) -> DataFrame:
+    """All columns of docs (the text only if keep_text), plus score (0 to 1) and predicted (1 at or above threshold); these replace columns of their names."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.drop("score", "predicted")
     shared, at = spark.sparkContext.broadcast(model), docs.columns.index(text_col)  # BUCKETS numbers
 
+    kept = [i for i in range(len(docs.columns)) if keep_text or i != at]
+    key = (spark.sparkContext.applicationId, shared._jbroadcast.id())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        words = _Words(m.value.astype(np.float64), memo_words)
+        if key not in _memos:
+            _memos.clear()
+            _memos[key] = _Words(m.value.astype(np.float64), memo_words)
+        words = _memos[key]
         for b in batches:
             score = m.score(b.column(at).to_pylist(), words)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*(b.schema.names[i] for i in kept), "score", "predicted"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "score double", "predicted int"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in (docs.schema.fields[i] for i in kept)), "score double", "predicted int"])
     return docs.mapInArrow(run, schema)
