@@ -45,8 +45,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text that is left, and a digest of what they decode to."""
     ranks = bpe.read_ranks(tokenizer_file("byte_bpe_50k.tiktoken"))
     coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, token_pattern())
-    ids = F.filter(F.split("ids", " "), lambda x: x != "")
-    return coded.select("doc_id", "lang", "source", F.size(ids).cast("long").alias("n_tokens"), "ids", F.sha2(bpe.decoded(ids, bpe.piece_array(ranks)), 256).alias("decoded_sha256"))
+    digested = coded.select("doc_id", "lang", "source", "ids", bpe.digests(F.col("ids"), ranks).alias("d"))
+    return digested.select("doc_id", "lang", "source", "ids", "d.n_tokens", "d.decoded_sha256")
 
 
 STAGES = [("quality", quality), ("line dedup", line_dedup), ("near copies", near_copies), ("decontamination", decontamination), ("tokens", tokens)]

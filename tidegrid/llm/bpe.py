@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from .common import small_batches
+from .common import small_batches, stage
 from .rans import units_of
 
 BUCKETS = 1 << 14
@@ -127,9 +127,19 @@ def _counter(pattern: str, limit: int = 1 << 19):
 
 
 def word_dictionary(docs: DataFrame, text_col: str, buckets: Column, pattern: str, dictionary_words: int) -> dict[str, str]:
-    """The commonest words, at most dictionary_words, with their ids as decimal text; counted over all documents."""
+    """The commonest words, at most dictionary_words, with their ids as decimal text; counted over all documents, without a sort."""
     words = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_counter(pattern), "word string, n long")
-    common = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(dictionary_words)
+    counted = stage(words.groupBy("word").agg(F.sum("n").alias("n")).withColumn("level", F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")), "word-counts")
+    # The lowest level of frequency from which on the words fit; levels are a sixteenth of a doubling, so they are few.
+    cut, held = None, 0
+    for r in sorted(counted.groupBy("level").count().collect(), key=lambda r: -r["level"]):
+        held += r["count"]
+        if held > dictionary_words:
+            break
+        cut = r["level"]
+    if cut is None:
+        return {}
+    common = counted.where(F.col("level") >= cut)
     spread = max(8, common.sparkSession.sparkContext.defaultParallelism * 4)
     found = common.select("word").repartition(spread, "word").select("word", F.array_join(word_ids(F.col("word"), buckets), " ").alias("ids"))
     got = found.toArrow()
@@ -139,7 +149,7 @@ def word_dictionary(docs: DataFrame, text_col: str, buckets: Column, pattern: st
 _memos: dict = {}  # of one worker: unit -> text of ids, or a list of (ids so far, rare word) with the ids after them
 
 
-def _arranger(shared, pattern: str, at: int, names: list[str], key: str, limit: int = 1 << 18):
+def _arranger(shared, pattern: str, at: int, names: list[str], key: str, limit: int = 400_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
@@ -169,9 +179,7 @@ def _arranger(shared, pattern: str, at: int, names: list[str], key: str, limit:
                     if got is None:
                         got = parts(f" {u}" if i else u)
                         got = got[0][0] if len(got) == 1 else got
-                        if i and len(u) < 64:
-                            if len(memo) >= limit:
-                                memo.clear()
+                        if i and len(u) < 64 and len(memo) < limit:  # common units come early
                             memo[u] = got
                     if isinstance(got, str):
                         if got:
@@ -200,7 +208,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
     fields = [f for f in docs.schema.fields if f.name != text_col]
     schema = T.StructType([*fields, T.StructField("known", T.ArrayType(T.StringType())), T.StructField("rare", T.ArrayType(T.StringType()))])
     shared = spark.sparkContext.broadcast(words)  # at most dictionary_words words
-    arranged = docs.mapInArrow(_arranger(shared, pattern, at, [f.name for f in fields], str(shared.id if hasattr(shared, "id") else id(shared))), schema)
+    arranged = docs.mapInArrow(_arranger(shared, pattern, at, [f.name for f in fields], f"{spark.sparkContext.applicationId} {shared._jbroadcast.id()}"), schema)
     rare = F.transform("rare", lambda w: F.array_join(word_ids(w, buckets), " "))
     woven = F.flatten(F.zip_with("known", rare, lambda k, r: F.array(k, r)))
     ids = F.when(F.size("rare") == 0, F.get("known", F.lit(0))).otherwise(F.array_join(F.filter(woven, lambda x: x != ""), " "))
@@ -210,3 +218,15 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
 def token_array(ids: Column) -> Column:
     """array<int> of the ids column."""
     return F.when(ids == "", F.array().cast("array<int>")).otherwise(F.split(ids, " ").cast("array<int>"))
+
+
+def digests(ids: Column, ranks: dict[bytes, int]) -> Column:
+    """struct<n_tokens, ids_sha256, decoded_sha256> of the ids column, which is worked out once for all three."""
+
+    def of(text: Column) -> Column:
+        none = F.array().cast("array<string>")
+        parts = F.when(text == "", none).otherwise(F.split(text, " "))
+        pieces = piece_array(ranks)
+        return _let(parts, lambda p: F.struct(F.size(p).cast("long").alias("n_tokens"), F.sha2(text, 256).alias("ids_sha256"), F.sha2(decoded(p, pieces), 256).alias("decoded_sha256")))
+
+    return _let(ids, of)
