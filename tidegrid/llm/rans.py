@@ -41,13 +41,13 @@ def units_of(text: str) -> list[str]:
 
 
 class UnitEncoder:
-    """Encodes texts with the tokenizers library unit by unit, remembering at most limit units.
+    """Encodes texts with the tokenizers library unit by unit, remembering the first limit units that it meets.
 
     Byte-level pre-tokenization never looks across a space between two visible characters, so the ids of a text
     are those of its units in turn. Texts that may hold a special token's string are encoded in one piece.
     """
 
-    def __init__(self, path: str, limit: int = 1 << 19):
+    def __init__(self, path: str, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.limit = Tokenizer.from_file(path), {}, limit
@@ -59,14 +59,13 @@ class UnitEncoder:
     def encode(self, texts: list[str], end: int | None) -> list[bytes]:
         cut = [None if any(s in t for s in self.special) else units_of(t) for t in texts]
         known = self.known
-        if len(known) > self.limit:
-            known.clear()
         fresh = list({u for units in cut if units for u in units[1:]}.difference(known))
-        for u, ids in zip(fresh, self._ids([f" {u}" for u in fresh]), strict=True):
-            known[u] = ids
+        found = dict(zip(fresh, self._ids([f" {u}" for u in fresh]), strict=True))
+        if len(known) < self.limit:  # common units come early
+            known.update((u, i) for u, i in found.items() if len(u) < 64)
         heads = iter(self._ids([t if units is None else units[0] for t, units in zip(texts, cut, strict=True)]))
         tail = b"" if end is None else struct.pack("<I", end)
-        return [b"".join([next(heads), *([known[u] for u in units[1:]] if units else ()), tail]) for units in cut]
+        return [b"".join([next(heads), *([known.get(u) or found[u] for u in units[1:]] if units else ()), tail]) for units in cut]
 
 
 _encoders: dict[str, UnitEncoder] = {}
@@ -139,6 +138,8 @@ class Coder:
             ids[t * lanes : t * lanes + k] = s
             v = self.freq[s] * (v >> bits) + slot - self.start[s]
             low = np.flatnonzero(v < LOW)
+            if word + len(low) > words:
+                raise ValueError("block of token ids is damaged")
             v[low] = (v[low] << np.uint64(32)) | data[word : word + len(low)]
             word += len(low)
             x[:k] = v
@@ -213,7 +214,7 @@ def _blocks(freq, bases: dict[int, int], block_ids: int):
 def write_token_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> tuple[DataFrame, DataFrame]:
     """(blocks, frequencies): the staged tables of a token file, with blocks in ascending id order by start."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 256)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
     ranged = rows.repartitionByRange(order[0]).sortWithinPartitions(*order)
