@@ -36,7 +36,7 @@ from .components import components
 
 HEAVY = 32
 #: Log2 of the Bloom bits for n-grams of two documents or more, and for heavy ones.
-SHARED_BITS, HEAVY_BITS = 27, 24
+SHARED_BITS, HEAVY_BITS = 26, 23
 #: Log2 of the Bloom bits for classes whose sets are wanted.
 WANTED_BITS = 24
 
@@ -324,19 +324,28 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 
 def _heavy_links(lists: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """All links that matter among lists (gram, cls, n, ell, light): two rounds of pivots, then every pair of different components."""
-    fits = lambda x, y: den * F.least(x, y) >= num * F.greatest(x, y)
+    """All links that matter among lists (gram, cls, n, ell, light): two rounds of pivots, then every pair of different components.
+
+    Pairs with a light n-gram in common are verified before this; the others can share heavy n-grams at most, so
+    their light ones all count as differences. Both bounds that follow are exact and stand in the join. A pivot is the
+    class with the fewest light n-grams: the middle of a group of near copies.
+    """
+
+    def may_link(n_a, light_a, n_b, light_b):
+        most = F.least(n_a - light_a, n_b - light_b)
+        return (den * most >= num * (n_a + n_b - most)) & ((light_a + light_b) * (den + num) <= (den - num) * (n_a + n_b))
+
     for round_ in (1, 2, 3):
         roots = components(links).withColumnsRenamed({"node": "cls", "root": "comp"})
         posts = lists.join(roots, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        mixed = posts.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("cls", F.lit(round_)).alias("h"), "cls", "n", "comp")).alias("p")).where("lo <> hi")
+        mixed = posts.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("light", F.xxhash64("cls", F.lit(round_)).alias("h"), "cls", "n", "comp")).alias("p")).where("lo <> hi")
         if round_ < 3:
-            pairs = posts.join(mixed.select("gram", "p"), "gram").where((F.col("comp") != F.col("p.comp")) & fits(F.col("n"), F.col("p.n")))
+            pairs = posts.join(mixed.select("gram", "p"), "gram").where((F.col("comp") != F.col("p.comp")) & may_link(F.col("n"), F.col("light"), F.col("p.n"), F.col("p.light")))
             pairs = pairs.select(F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b")).distinct()
         else:
             rest = stage(posts.join(mixed.select("gram"), "gram", "left_semi"), "heavy-lists")
-            x, y = (rest.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "ell", "light", "comp")]) for s in "ab")
-            pairs = x.join(y, "gram").where((F.col("cls_a") < F.col("cls_b")) & (F.col("comp_a") != F.col("comp_b")) & fits(F.col("n_a"), F.col("n_b")))
+            x, y = (rest.select(*[F.col(c).alias(f"{c}_{s}") for c in ("gram", "cls", "n", "light", "comp")]) for s in "ab")
+            pairs = x.join(y, (F.col("gram_a") == F.col("gram_b")) & (F.col("cls_a") < F.col("cls_b")) & (F.col("comp_a") != F.col("comp_b")) & may_link(F.col("n_a"), F.col("light_a"), F.col("n_b"), F.col("light_b")))
             need = F.greatest(F.lit(1), 1 + F.least("n_a", "n_b").cast("int") / 10 - F.least("light_a", "light_b") - 1)
             pairs = pairs.groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg(F.count("*").alias("shared"), F.min(need).alias("need")).where("shared >= floor(need)").select("a", "b")
         links = stage(links.unionByName(verified(pairs, sets, num, den)), f"links-{round_}")
