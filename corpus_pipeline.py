@@ -24,8 +24,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that ten sites or more share go; the documents stay."""
-    cleaned = clean_lines(docs)
+    """Lines that ten sites or more share stay in their lowest document only; documents left blank by it go.
+
+    So a document whose copies stand on ten sites or more keeps its text once, in its lowest copy.
+    """
+    cleaned = clean_lines(docs, keep_in="doc_id")
+    cleaned = cleaned.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return cleaned.select(docs.columns)

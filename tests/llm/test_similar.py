@@ -191,3 +191,19 @@ def test_pipeline(spark, sf_dir):
             assert {r["doc_id"] for r in docs.collect()} - {r["doc_id"] for r in out.collect()} == gone
         docs = out
     assert seen["quality"] > seen["near copies"] >= seen["decontamination"] == seen["tokens"] > 0
+
+
+def test_pipeline_keeps_one_of_many_copies(spark):
+    """Copies on ten sources or more: the lowest keeps the whole text, the near-copy stage sees no blank documents."""
+    import corpus_pipeline as p
+
+    whole = "\n".join(f"line {k} of a text that stands on a dozen sources" for k in range(4))
+    common = "a notice that every source puts below its pages"
+    rows = [(i, whole, f"s{i % 12}") for i in range(10, 30)] + [(i, f"{common}\nown words of document number {i}, not shared", f"s{i % 12}") for i in range(40, 60)]
+    rows += [(60, f"{common}\nthe last one\n{common}", "s0"), (70, "", "s1"), (71, None, "s2"), (72, "\n", "s3")]
+    df = spark.createDataFrame([(i, t, s, len(t or "")) for i, t, s in rows], "doc_id long, text string, source string, n_chars int")
+    cleaned = p.stage(p.line_dedup(spark, df, ""), "test")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in cleaned.collect()}
+    want = {10: whole, 40: rows[20][1], **{i: t.split("\n")[1] for i, t, _ in rows[21:40]}, 60: "the last one", 70: "", 71: None, 72: "\n"}
+    assert got == {i: (t, len(t or "")) for i, t in want.items()}
+    assert sorted(r["doc_id"] for r in p.near_copies(spark, cleaned, "").collect()) == sorted(want)

@@ -99,3 +99,16 @@ def test_line_spread_near_the_threshold_is_exact(spark):
     rows = [(k * 1000 + s, f"a line that {n} sites hold, number {k}", f"site{s}") for k, n in enumerate((9, 10, 11, 300)) for s in range(n)]
     bad = lines.boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"), lg_k=5)
     assert bad.count() == 3
+
+
+def test_lines_kept_in_one_place_on_both_paths(spark):
+    common, other = "this line stands on many sites", "this other line stands on many sites"
+    rows = [(i, f"{common}\nown {i}\n{other}\n{common}", f"s{i}", 0, 1) for i in range(5, 20)]
+    rows += [(3, f"{other}\nx\n{other}", "s1", 0, 1), (1, common, None, 0, 1), (None, common, "s2", 0, 1), (5, rows[0][1], "s5", 0, 1), (30, None, "s1", 0, 1)]
+    want = [(str(i), f"{common}\nown {i}" if i == 5 else f"own {i}", 4) for i in (5, *range(5, 20))]
+    want = sorted([*want, ("3", f"{other}\nx", 3), ("1", "", 1), ("None", "", 1), ("30", None, 0)], key=str)
+    df = spark.createDataFrame(rows, DOCS)
+    for limit in (1000, 0):
+        got = lines.clean_lines(df, broadcast_lines=limit, keep_in="doc_id").collect()
+        assert sorted([(str(r["doc_id"]), r["text"], r["n_lines"]) for r in got], key=str) == want
+        assert all(r["n_removed"] == r["n_lines"] - len(r["text"].split("\n")) or r["text"] == "" for r in got if r["text"] is not None)
