@@ -207,3 +207,18 @@ def test_pipeline_keeps_one_of_many_copies(spark):
     want = {10: whole, 40: rows[20][1], **{i: t.split("\n")[1] for i, t, _ in rows[21:40]}, 60: "the last one", 70: "", 71: None, 72: "\n"}
     assert got == {i: (t, len(t or "")) for i, t in want.items()}
     assert sorted(r["doc_id"] for r in p.near_copies(spark, cleaned, "").collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("stripe", [1024, 7])
+def test_link_counts_are_brute_force(spark, monkeypatch, stripe):
+    """Links between different sets, those inside a large group of mostly common n-grams included."""
+    rows = corpus()
+    monkeypatch.setattr(jaccard, "STRIPE_SETS", stripe, raising=False)
+    monkeypatch.setattr(jaccard, "_frequent", _with_heavy(jaccard._frequent, 4))
+    cut = lambda t: (t or "").encode().lower().split()
+    sets = {i: frozenset(tuple(w[j : j + 4]) for j in range(max(1, len(w) - 3))) if (w := cut(t)) else frozenset() for i, t, *_ in rows}
+    kinds = {s for s in sets.values() if s}
+    links = {s: sum(s != o and 100 * len(s & o) >= 85 * len(s | o) for o in kinds) for s in kinds}
+    df = spark.createDataFrame(rows, "doc_id long, text string, cls string, n int").repartition(6)
+    got = {r["doc_id"]: r["n_links"] for r in jaccard.jaccard_components(df, 4, 85, 100).collect()}
+    assert got == {i: links.get(s, 0) for i, s in sets.items()} and max(got.values()) > 20

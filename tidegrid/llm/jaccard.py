@@ -14,8 +14,11 @@ of the n-grams they share there; the sums over fragments decide which pairs go o
    tenth of the set, which pairs that merely share a passage do not reach. Light lists are shorter than HEAVY.
 3. Classes that are mostly heavy (large groups of near copies) post a prefix of heavy n-grams, too. Their lists
    may be long; each is linked to one pivot at a time, and after two rounds of pivots all pairs that still lie in
-   different components are counted and checked, so that no link is lost and no list is multiplied out.
+   different components are counted and checked, so that no list is multiplied out and components are whole.
 4. Verification intersects the sets of the pairs left; components come from star steps.
+5. Numbers of links, where wanted: what 3 leaves out are links between mostly heavy classes of one component. These
+   classes are dealt to stripes of bounded size, and every two stripes of a component are counted in one task, whose
+   answer is a number per class; the pairs themselves are never rows.
 
 Nulls: a null text is an empty set, which links with nothing; rows with a null id link with nothing and have a
 null component. Repeated ids and rows: each row is a document; equal texts are one class. Empty tables give no
@@ -39,6 +42,8 @@ HEAVY = 32
 SHARED_BITS, HEAVY_BITS = 26, 23
 #: Log2 of the Bloom bits for classes whose sets are wanted.
 WANTED_BITS = 24
+#: Mean bytes and classes of a stripe, two of which are counted against each other in one task.
+STRIPE_BYTES, STRIPE_SETS = 8 << 20, 1024
 
 
 class Shingler:
@@ -323,8 +328,51 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return stage(both.mapInArrow(_linked(num, den), "a long, b long"), "verified")
 
 
+def _stripe_links(num: int, den: int, width: int = 4096):
+    """Per two stripes (or one with itself): each class's number of links to classes of the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, (firsts, seconds, cls, grams) in _grouped(batches, 4):
+            cls, sets = np.array(cls, np.int64), [np.frombuffer(x, np.uint64) for x in grams]
+            size = np.array([len(x) for x in sets])
+            a, b = np.flatnonzero(firsts), np.flatnonzero(seconds)
+            if not len(a) or not len(b):
+                continue
+            owner, (_, column, held) = np.repeat(np.arange(len(sets)), size), np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            several = held >= 2
+            owner, column = owner[several[column]], (np.cumsum(several) - 1)[column[several[column]]]
+            order = np.argsort(column, kind="stable")
+            owner, column = owner[order], column[order]
+            both = np.zeros((len(a), len(b)), np.int64)
+            for at in range(0, int(several.sum()), width):
+                i, j = np.searchsorted(column, (at, at + width))
+                has = np.zeros((len(sets), width), np.float32)
+                has[owner[i:j], column[i:j] - at] = 1
+                both += (has[a] @ has[b].T).astype(np.int64)
+            linked = (den * both >= num * (size[a][:, None] + size[b][None, :] - both)) & (cls[a][:, None] != cls[b][None, :])
+            own = all(x and y for x, y in zip(firsts, seconds, strict=True))
+            found, n = (cls[a], linked.sum(1)) if own else (np.append(cls[a], cls[b]), np.append(linked.sum(1), linked.sum(0)))
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["node", "n"])
+
+    return run
+
+
+def _degrees(links: DataFrame, roots: DataFrame, heavy: DataFrame, sets: DataFrame, num: int, den: int, fragments: int) -> DataFrame:
+    """node, n_links: exact; links between two of the classes heavy are counted by stripes of their components, all others are in links."""
+    mark = heavy.select(F.col("cls").alias("_cls"), F.lit(True).alias("_heavy"))
+    flagged = links.join(mark.withColumnsRenamed({"_cls": "a", "_heavy": "_x"}), "a", "left").join(mark.withColumnsRenamed({"_cls": "b", "_heavy": "_y"}), "b", "left")
+    listed = flagged.where("_x IS NULL OR _y IS NULL").select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("n"))
+    members = heavy.join(roots.withColumnsRenamed({"node": "cls"}), "cls").join(sets, "cls")
+    dealt = members.groupBy("root").agg(F.greatest(F.ceil(F.sum(F.octet_length("grams")) / STRIPE_BYTES), F.ceil(F.count("*") / STRIPE_SETS)).alias("stripes"), F.count("*").alias("k")).where("k > 1")
+    own = members.join(dealt, "root").withColumn("own", F.pmod(F.xxhash64("cls", F.lit(5)), F.col("stripes")))
+    pairs = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("stripes") - 1)))
+    keyed = pairs.select(F.concat_ws(":", "root", F.least("own", "other"), F.greatest("own", "other")).alias("key"), (F.col("own") <= F.col("other")).alias("first"), (F.col("own") >= F.col("other")).alias("second"), "cls", "grams")
+    counted = keyed.repartition(fragments, "key").sortWithinPartitions("key").mapInArrow(_stripe_links(num, den), "node long, n long")
+    return stage(listed.unionByName(counted).groupBy("node").agg(F.sum("n").alias("n_links")), "link-counts")
+
+
 def _heavy_links(lists: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """All links that matter among lists (gram, cls, n, ell, light): two rounds of pivots, then every pair of different components.
+    """The links that join components among lists (gram, cls, n, ell, light): two rounds of pivots, then every pair of different components.
 
     Pairs with a light n-gram in common are verified before this; the others can share heavy n-grams at most, so
     their light ones all count as differences. Both bounds that follow are exact and stand in the join. A pivot is the
@@ -352,11 +400,11 @@ def _heavy_links(lists: DataFrame, links: DataFrame, sets: DataFrame, num: int,
     return links
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, cls, n_links: den * intersection >= num * union links two documents.
 
-    cls is the class of equal sets; n_links counts the class's verified links to others. Links within one component
-    beyond those that connect it are not searched for.
+    cls is the class of equal sets; n_links is the exact number of other classes that it links with. Without
+    count_links there is no such column, and links that connect no components are not searched for.
     """
     spark = docs.sparkSession
     small_batches(spark, 64)  # rows hold whole sets, or a task's share of a fragment
@@ -390,16 +438,21 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
 
     links = verified(light, sets, num, den)
     links = _heavy_links(lists_, links, sets, num, den)
-    discard(lists, lists_, light, sets, classes)
     roots = components(links)
+    if count_links:
+        degree = _degrees(links, roots, lists_.select("cls").distinct(), sets, num, den, fragments)
+    discard(lists, lists_, light, sets, classes)
     lowest = known.groupBy("cls").agg(F.min("doc_id").alias("low"))
     linked = roots.join(lowest, roots.node == lowest.cls).groupBy("root").agg(F.min("low").alias("component"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    by_class = roots.join(linked, "root").join(degree, "node", "left").select(F.col("node").alias("cls"), "component", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    by_class = stage(lowest.join(by_class, "cls", "left").select("cls", F.coalesce("component", "low").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "class-components")
+    by_class = roots.join(linked, "root").select(F.col("node").alias("cls"), "component")
+    by_class = lowest.join(by_class, "cls", "left").select("cls", F.coalesce("component", "low").alias("component"))
+    if count_links:
+        by_class = by_class.join(degree.withColumnRenamed("node", "cls"), "cls", "left")
+    by_class = stage(by_class, "class-components")
     out = signed.select("doc_id", "text_hash", "n_shingles", "cls").join(by_class, "cls", "left")
     alone = F.col("n_shingles") == 0
-    return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNull(), None).when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "cls", F.when(alone, 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"))
+    n_links = [F.when(alone, 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links")] if count_links else []
+    return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNull(), None).when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "cls", *n_links)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -407,7 +460,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows with an empty set, or a null id, are copies of nothing and all stay.
     """
-    groups = jaccard_components(docs, id_col=id_col, text_col=text_col, **options)
+    groups = jaccard_components(docs, id_col=id_col, text_col=text_col, count_links=False, **options)
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     kept = groups.where(~alone).groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k.*")
     kept = stage(kept.withColumn("_once", F.lit(True)).unionByName(groups.where(alone).select("doc_id", "text_hash").distinct().withColumn("_once", F.lit(False))), "kept-documents")
