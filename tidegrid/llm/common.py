@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Rows of one Arrow batch. Texts may be long, so batches stay small.
-ARROW_ROWS = 1024
+#: Bytes of one Arrow batch between Spark and Python, in place of Spark's default of 64 MB.
+BATCH_KEY, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "2MB"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); one of our own only where none is set."""
+    """The folder that all executors share (spark.checkpoint.dir); one of our own only where none is set and all runs in one local process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="tidegrid-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -33,6 +38,8 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
+    gc.collect()  # the driver, too, gives back what a step has left
+    _give_back()
     return out
 
 
@@ -46,9 +53,14 @@ def discard(*staged: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Readies the session for Arrow functions: small batches, and this package on every executor's path."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def ship(spark: SparkSession) -> None:
+    """Readies a session for Arrow functions: this package on every executor's path, and batches of BATCH at most.
+
+    The bound is one for all functions, so that it does not matter which of them was called last; a session that sets
+    a bound of its own keeps it. It only limits memory, never results.
+    """
+    if spark.conf.get(BATCH_KEY, "64MB").lower() in ("64mb", "64m", "67108864b", "67108864"):
+        spark.conf.set(BATCH_KEY, BATCH)
     sc = spark.sparkContext
     if getattr(sc, "_tidegrid_shipped", False):
         return
@@ -61,6 +73,39 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     sc._tidegrid_shipped = True
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """name, or with underscores in front until no column of df has it (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def lean(run):
+    """run, an Arrow function, giving the memory that it has freed back to the system now and then, and at its end.
+
+    Idle Python workers live on beside the next stage's, so what they keep counts against the executor.
+    """
+
+    def leaner(batches):
+        for k, out in enumerate(run(batches)):
+            yield out
+            del out
+            if k % 16 == 15:
+                _give_back()
+        _give_back()
+
+    return leaner
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

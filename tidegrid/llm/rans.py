@@ -8,81 +8,108 @@ there; a crc32 of the ids as unsigned 32-bit integers guards each block. Blocks
 the shared folder, each with the global position of its first id, so that they decode in parallel and a lost
 task is simply run again.
 
-Nulls: a null text is empty (only the end id); null document ids come first. Ties of doc_id are ordered by their
-ids. A text of any length stays in one block. Empty tables give no rows; further columns are not read.
+Nulls: a null text is empty (only the end id); null document ids come first. Ids of documents are read as long (one that
+is no number is an error under ANSI rules, else null). Rows of one doc_id are ordered by a hash of their ids, then by
+these. A text of any length stays in one block. Empty tables give no rows; further columns are not read.
 """
 
 from __future__ import annotations
 
-import re
+import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import discard, small_batches, stage
+from .common import discard, lean, ship, stage
+from .units import binary_array, cut_units, fine_pattern, flat_binary, slices, spread
 
 MAGIC, SCALE_BITS, LOW = b"TGR1", 20, np.uint64(1 << 31)
 BLOCK_IDS, LANES, CHECK_STEPS = 1 << 17, 1024, 64
-#: A space between two characters that are not white space: what byte-level pre-tokenizers never join across.
-SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-ODD_SPACE = re.compile("[" + "".join(map(chr, [9, 11, 12, 13, *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]")
-
-
-def units_of(text: str) -> list[str]:
-    """The text cut at safe spaces; every unit but the first had one space before it."""
-    if "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " " or ODD_SPACE.search(text):
-        return SAFE_SPACE.split(text)
-    return text.split(" ")
 
 
 class UnitEncoder:
-    """Encodes texts with the tokenizers library unit by unit, remembering the first limit units that it meets.
+    """Encodes texts with the tokenizers library, each distinct unit of a batch once, remembering the first limit units.
 
-    Byte-level pre-tokenization never looks across a space between two visible characters, so the ids of a text
-    are those of its units in turn. Texts that may hold a special token's string are encoded in one piece.
+    Byte-level pre-tokenization never looks across a space or newline between two visible characters, so the ids of a
+    text are those of its units in turn. Texts that may hold a special token's string are encoded in one piece.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 500_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # an executor's cores have a task each
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.limit = Tokenizer.from_file(path), {}, limit
+        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
+        self.fine = fine_pattern(lambda t: [t[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(t)])
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str], end: int | None) -> list[bytes]:
-        cut = [None if any(s in t for s in self.special) else units_of(t) for t in texts]
-        known = self.known
-        fresh = list({u for units in cut if units for u in units[1:]}.difference(known))
-        found = dict(zip(fresh, self._ids([f" {u}" for u in fresh]), strict=True))
-        if len(known) < self.limit:  # common units come early
-            known.update((u, i) for u, i in found.items() if len(u) < 64)
-        heads = iter(self._ids([t if units is None else units[0] for t, units in zip(texts, cut, strict=True)]))
-        tail = b"" if end is None else struct.pack("<I", end)
-        return [b"".join([next(heads), *([known.get(u) or found[u] for u in units[1:]] if units else ()), tail]) for units in cut]
+        self.store, self.used = np.empty(1 << 20, np.uint32), 0
+        self.starts, self.lengths = np.empty(limit, np.int64), np.empty(limit, np.int64)
+
+    def _learn(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Appends the ids of new units to the store; (first position, ids) of each. Those that are remembered come first."""
+        found = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
+        ids = [e.ids for e in found]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        total = int(lengths.sum())
+        if self.used + total > len(self.store):
+            self.store = np.concatenate([self.store, np.empty(max(total, len(self.store)), np.uint32)])
+        self.store[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        starts = self.used + np.cumsum(lengths) - lengths
+        room = min(len(units), self.limit - len(self.known))
+        if room and self.used < 1 << 23:
+            base = len(self.known)
+            self.known.update(zip(units[:room], range(base, base + room), strict=True))
+            self.starts[base : base + room], self.lengths[base : base + room] = starts[:room], lengths[:room]
+            self.used = int(starts[room - 1] + lengths[room - 1])
+        return starts, lengths
+
+    def encode(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in turn, ids of each text), with the end id after each text unless it is None."""
+        whole = None
+        for s in self.special:
+            holds = pc.match_substring(pc.fill_null(texts, ""), s)
+            whole = holds if whole is None else pc.or_(whole, holds)
+        codes, distinct, counts = cut_units(texts, self.fine, whole)
+        units = distinct.to_pylist()
+        at = np.fromiter(map(self.known.get, units, repeat(-1)), np.int64, len(units))
+        starts, lengths = self.starts[at], self.lengths[at]
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            long = pc.greater_equal(pc.binary_length(distinct), 64).to_numpy(zero_copy_only=False)[new]
+            new = np.concatenate([new[~long], new[long]])  # long ones are the last to be remembered
+            starts[new], lengths[new] = self._learn([units[i] for i in new.tolist()])
+        ids = self.store[spread(starts[codes], lengths[codes])]
+        per_text = np.diff(np.concatenate([[0], np.cumsum(lengths[codes])])[np.concatenate([[0], np.cumsum(counts)])])
+        if end is not None:
+            ids, per_text = np.insert(ids, np.cumsum(per_text), end), per_text + 1
+        return ids, per_text
 
 
 _encoders: dict[str, UnitEncoder] = {}
 
 
 def scaled(counts: np.ndarray) -> np.ndarray:
-    """Frequencies of sum 2**SCALE_BITS, at least 1 where the count is; the commonest symbols take the rounding."""
-    total, goal = int(counts.sum()), 1 << SCALE_BITS
+    """Frequencies of a sum that is a power of two, at least 1 where the count is; the commonest symbols take the rounding.
+
+    The sum is 2**SCALE_BITS, or more where there are so many symbols that a quarter of it would not hold them.
+    """
+    total, symbols = int(counts.sum()), int(np.count_nonzero(counts))
     if not total:
         return counts.astype(np.int64)
+    goal = 1 << max(SCALE_BITS, (symbols - 1).bit_length() + 2)
     f = np.where(counts > 0, np.maximum(1, counts.astype(np.float64) * goal / total).astype(np.int64), 0)
     order = np.argsort(-f, kind="stable")
     off, k = goal - int(f.sum()), 0
     while off:
-        s = order[k % len(order)]
+        s = order[k % symbols]
         step = off if off > 0 else max(off, -(int(f[s]) // 2))
-        if f[s] and step:
+        if step:
             f[s] += step
             off -= step
         k += 1
@@ -91,6 +118,7 @@ def scaled(counts: np.ndarray) -> np.ndarray:
 
 class Coder:
     def __init__(self, freq: np.ndarray):
+        self.bits = max(0, int(freq.sum()).bit_length() - 1)
         self.freq = freq.astype(np.uint64)
         self.start = (np.cumsum(freq) - freq).astype(np.uint64)
         self.symbol = np.repeat(np.arange(len(freq)), freq).astype(np.uint32)
@@ -103,13 +131,13 @@ class Coder:
         for t in range(steps - 1, -1, -1):
             s = ids[t * lanes : (t + 1) * lanes]
             f, v = self.freq[s], x[: len(s)]
-            full = v >= f << np.uint64(63 - SCALE_BITS)
+            full = v >= f << np.uint64(63 - self.bits)
             w = v[full].astype(np.uint32)
             out.append(w)
             words += len(w)
             v = np.where(full, v >> np.uint64(32), v)
             q = v // f
-            x[: len(s)] = (q << np.uint64(SCALE_BITS)) + (v - q * f) + self.start[s]
+            x[: len(s)] = (q << np.uint64(self.bits)) + (v - q * f) + self.start[s]
             if t and t % CHECK_STEPS == 0:
                 checks.append((t, words, x.copy()))
         head = struct.pack("<4sIIIII", MAGIC, n, lanes, words, len(checks), zlib.crc32(ids.astype("<u4").tobytes()))
@@ -129,7 +157,7 @@ class Coder:
             first, word = struct.unpack_from("<II", block, mark)
             x = np.frombuffer(block, "<u8", lanes, mark + 8).copy()
         data = np.frombuffer(block, "<u4", words, at + 8 * lanes + n_checks * (8 + 8 * lanes)).astype(np.uint64)
-        ids, mask, bits = np.empty(n, np.uint32), np.uint64((1 << SCALE_BITS) - 1), np.uint64(SCALE_BITS)
+        ids, mask, bits = np.empty(n, np.uint32), np.uint64((1 << self.bits) - 1), np.uint64(self.bits)
         for t in range(first, -(-n // lanes)):
             k = min(lanes, n - t * lanes)
             v = x[:k]
@@ -150,39 +178,44 @@ class Coder:
         return ids
 
 
-def _tokenized(path: str, end: int):
+def _tokenized(path: str, end: int, width: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoders.get(path) or _encoders.setdefault(path, UnitEncoder(path))
+        for whole in batches:
+            for b in slices(whole, 1, 6 << 20):
+                ids, counts = coder.encode(b.column(1), end)
+                yield pa.RecordBatch.from_arrays([b.column(0), binary_array(ids.astype(width), counts)], names=["doc_id", "ids"])
+
+    return lean(run)
+
+
+def _placed(width: str):
+    """Adds the partition, and the position in it of each row's first id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid, done = TaskContext.get().partitionId(), 0
         for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            raw = [x for i in range(0, len(texts), 256) for x in coder.encode(texts[i : i + 256], end)]
-            sizes = np.array([len(x) // 4 for x in raw], np.int64)
-            ends = done + np.cumsum(sizes)
-            # ids below 2**16 in two bytes, else four
-            packed = [a.astype("<u2").tobytes() + b"\2" if (a := np.frombuffer(x, "<u4")).max(initial=0) < 65536 else x + b"\4" for x in raw]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.full(len(sizes), pid, np.int32)), pa.array(ends - sizes), pa.array(packed, pa.binary())], names=["doc_id", "pid", "first", "ids"])
-            done = int(ends[-1]) if len(sizes) else done
-
-    return run
+            counts = flat_binary(b.column(1), width)[1]
+            ends = done + np.cumsum(counts)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(counts), pid, np.int32)), pa.array(ends - counts), pa.array(counts), b.column(1)], names=["doc_id", "pid", "first", "n", "ids"])
+            done = int(ends[-1]) if len(ends) else done
 
+    return lean(run)
 
-def _unpacked(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, "<u2" if x[-1] == 2 else "<u4", (len(x) - 1) // x[-1])
 
+def _histogram(width: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 16, np.int64)
+        for b in batches:
+            counts = np.bincount(flat_binary(b.column(0), width)[0], minlength=len(total))
+            total = np.pad(total, (0, len(counts) - len(total))) + counts
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(total[found])], names=["token", "n"])
 
-def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << 16, np.int64)
-    for b in batches:
-        counts = np.bincount(np.concatenate([_unpacked(x) for x in b.column("ids").to_pylist()] or [np.empty(0, np.uint16)]))
-        if len(counts) > len(total):
-            total = np.pad(total, (0, len(counts) - len(total)))
-        total[: len(counts)] += counts
-    found = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(total[found])], names=["token", "n"])
+    return lean(run)
 
 
-def _blocks(freq, bases: dict[int, int], block_ids: int):
+def _blocks(freq, bases: dict[int, int], block_ids: int, width: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(freq.value)
         docs, ids, held, at = [], [], 0, None  # at: the partition and position that would continue this block
@@ -197,43 +230,49 @@ def _blocks(freq, bases: dict[int, int], block_ids: int):
             )
 
         for b in batches:
-            for doc, pid, first, x in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            flat, counts = flat_binary(b.column(3), width)
+            ends = np.cumsum(counts)
+            for doc, pid, first, n, e in zip(*(b.column(k).to_pylist() for k in range(3)), counts.tolist(), ends.tolist(), strict=True):
                 if ids and (held >= block_ids or (pid, first) != at):
                     yield flush()
                     docs, ids, held = [], [], 0
-                x = _unpacked(x)
-                docs.append(doc), ids.append(x)
-                held += len(x)
-                at = (pid, first + len(x))
+                docs.append(doc), ids.append(flat[e - n : e])
+                held += n
+                at = (pid, first + n)
         if ids:
             yield flush()
 
-    return run
+    return lean(run)
 
 
 def write_token_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> tuple[DataFrame, DataFrame]:
     """(blocks, frequencies): the staged tables of a token file, with blocks in ascending id order by start."""
+    from tokenizers import Tokenizer
+
     spark = docs.sparkSession
-    small_batches(spark, 256)
+    ship(spark)
+    width = "<u2" if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(True) - 1, end_id) < 1 << 16 else "<u4"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    ranged = rows.repartitionByRange(order[0]).sortWithinPartitions(*order)
-    tokens = stage(ranged.mapInArrow(_tokenized(tokenizer_path, end_id), "doc_id long, pid int, first long, ids binary"), "token-ids")
-    frequencies = tokens.select("ids").mapInArrow(_histogram, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    counted = frequencies.collect()  # a row per vocabulary entry at most
+    found = stage(rows.mapInArrow(_tokenized(tokenizer_path, end_id, width), "doc_id long, ids binary"), "token-ids")  # texts stay where they are
+    counted = found.select("ids").mapInArrow(_histogram(width), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()  # a row per vocabulary entry at most
     counts = np.zeros(max([r["token"] for r in counted], default=0) + 1, np.int64)
     for r in counted:
         counts[r["token"]] = r["n"]
     freq = scaled(counts)
     shared = stage(spark.createDataFrame([(int(t), int(freq[t])) for t in np.flatnonzero(freq)], "token long, frequency long").coalesce(1), "token-frequencies")
-    lasts = tokens.groupBy("pid").agg(F.max(F.struct("first", (F.octet_length("ids") - 1).alias("bytes"), F.expr("ascii(decode(substring(ids, -1, 1), 'ISO-8859-1'))").alias("wide"))).alias("z")).orderBy("pid").collect()
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"), "ids"]  # the hash lets the rows of one id lie in several partitions
+    ranged = found.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
+    placed = stage(ranged.mapInArrow(_placed(width), "doc_id long, pid int, first long, n long, ids binary"), "token-places")
+    discard(found)
+    lasts = placed.groupBy("pid").agg(F.max(F.col("first") + F.col("n")).alias("n")).orderBy("pid").collect()
     bases, total = {}, 0
     for r in lasts:  # one row per partition
         bases[r["pid"]] = total
-        total += r["z"]["first"] + r["z"]["bytes"] // r["z"]["wide"]
+        total += r["n"]
     schema = "start long, doc_ids array<long>, lens array<long>, payload binary"
-    blocks = stage(tokens.mapInArrow(_blocks(spark.sparkContext.broadcast(freq), bases, block_ids), schema), "token-blocks")
-    discard(tokens)
+    held = spark.sparkContext.broadcast(freq)
+    blocks = stage(placed.select("doc_id", "pid", "first", "ids").mapInArrow(_blocks(held, bases, block_ids, width), schema), "token-blocks")
+    discard(placed)
     return blocks, shared
 
 

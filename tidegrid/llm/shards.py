@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import small_batches, stage
+from .common import ship, stage
 
 
 def _local_offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,7 +40,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", t
     A shard's bytes differ from total / n by less than one row at each of its two cuts. Slots are gapless from 0.
     """
     spark = docs.sparkSession
-    small_batches(spark, 65536)
+    ship(spark)
     text = F.col(text_col).cast("string")
     raw = F.coalesce(text.cast("binary"), F.lit(b""))
     rows = docs.select(

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import small_batches, stage
+from .common import lean, ship, stage
 
 WIDTH, MAX_ROWS = 64, 16384
 # Fixed values of the format.
@@ -678,7 +678,7 @@ def features(samples: bytes) -> str:
 
 def _mapped(docs: DataFrame, column: str, added: list[tuple[str, T.DataType]], work) -> DataFrame:
     """docs without column, plus what work(value) gives for it."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     at = docs.columns.index(column)
     kept = [f for f in docs.schema.fields if f.name != column and f.name not in {n for n, _ in added}]
     places = [docs.columns.index(f.name) for f in kept]
