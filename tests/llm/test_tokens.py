@@ -11,6 +11,7 @@ from tidegrid.llm import bpe, queries, rans
 
 TEXTS = [
     None, "", " ", "a", "a  b", " a b", "x\n \nfoo bar", "it's  we'll\t x WE'LL", "<|endoftext|> a<|endoftext|>b", "\n\n a\r\n b ", "a\u3000b \u200b c\u00a0 ", "12345 \u00bd\u00b2 \U0001f600 中文字", "word " * 3000, "a" * 400 + " " + "é" * 200,
+    "中文" * 30_000, "ACGTTGCA" * 12_500 + "x" * 100_000, "a,b, c. d.\ne,\nf..g ,h 3.14,15.\n", "\0 a \0b", "é,è. ß,",
     "the same text", "the same text",
 ]
 
@@ -71,11 +72,16 @@ def test_bpe_matches_tiktoken(spark, docs, words):
     ranks = bpe.read_ranks(queries.tokenizer_file("byte_bpe_50k.tiktoken"))
     ref = tiktoken.Encoding("own", pat_str=queries.token_pattern(), mergeable_ranks=ranks, special_tokens={})
     out = bpe.encode(docs, ranks, queries.token_pattern(), dictionary_words=words)
-    got = out.select("doc_id", "ids", bpe.digests(F.col("ids"), ranks).alias("d"), bpe.token_array(F.col("ids")).alias("a")).collect()
+    assert out.columns == ["doc_id", "known", "ids"]
+    again = bpe.encode(docs, ranks, queries.token_pattern(), dictionary_words=words, digests=True)
+    key = lambda r: (str(r["doc_id"]), r["ids_sha256"])
+    got = bpe.decode(bpe.with_digests(out, ranks), ranks).collect()
+    assert sorted(again.collect(), key=key) == sorted((r[:-1] for r in got), key=lambda r: (str(r[0]), r[4]))
     assert len(got) == len(TEXTS) + 2
     for r in got:
         text = "null id" if r["doc_id"] is None else TEXTS[r["doc_id"]] or ""
         ids = ref.encode_ordinary(text)
-        assert r["a"] == ids and r["ids"] == " ".join(map(str, ids)) and r["d"]["n_tokens"] == len(ids)
-        assert r["d"]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        assert r["ids"] == ids and r["n_tokens"] == len(ids) and bytes(r["decoded"]) == text.encode()
+        assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
     assert bpe.encode(docs.limit(0), ranks, queries.token_pattern()).count() == 0

@@ -82,8 +82,7 @@ def token_pattern() -> str:
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(tokenizer_file("byte_bpe_50k.tiktoken"))
-    tokens = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, token_pattern())
-    return tokens.select("doc_id", bpe.digests(F.col("ids"), ranks).alias("d")).select("doc_id", "d.*")
+    return bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, token_pattern(), digests=True).drop("ids")
 
 
 def op10_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
