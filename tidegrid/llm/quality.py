@@ -2,15 +2,17 @@
 
 A document is the average of the learned vectors of its features: words, the 3 to 5 character n-grams of words
 between marks, and pairs of neighbouring words, hashed into shared buckets; each of the three kinds is averaged
-by itself and weighs a third. A softmax layer on top gives class probabilities. Training is plain numpy stochastic gradient descent on the driver over at most
-max_rows labelled rows (those of the lowest id hash), whose feature counts are made on the executors. For two
-classes the softmax over a mean of vectors is a logistic of a mean of one number per feature, so scoring adds
-up one number per word (memoised in each worker, at most memo_words of them at a time) and per word pair.
-
-Whole texts are scored. Null or empty texts, and those without words, take the score of the bias alone. Null
-labels are no labels; several labels of one id count as their rounded mean. With no labelled rows or a single
-class the score is the smoothed share of label 1. Repeated rows are scored row by row. Empty tables give no
-rows. Only id and text are read, so further columns cannot clash.
+by itself and weighs a third. A softmax layer on top gives class probabilities. Training is plain numpy stochastic
+gradient descent over at most max_rows labelled rows (those of the lowest id hash): their feature counts are made by
+many tasks, and one task learns from them, so that the driver only sees the model. For two classes the softmax over a
+mean of vectors is a logistic of a mean of one number per feature, so scoring adds up one number for each. Words are
+cut and numbered by Arrow, and each distinct word of a batch is hashed once, by numpy, over its characters.
+
+Words are what stands between white space. Whole texts are scored. Null or empty texts, and those without words, take
+the score of the bias alone. Null labels are no labels; several labels of one id count as their rounded mean, and
+several rows of one id are learned from once, by the lowest text. With no labelled rows or a single class the score is
+the smoothed share of label 1. Repeated rows are scored row by row. Empty tables give no rows. Only id and text are
+read; columns named score or predicted are replaced by score_quality, and stay with keep_quality.
 """
 
 from __future__ import annotations
@@ -21,63 +23,75 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import small_batches
+from .common import lean, mix64, ship
+from .units import slices
 
-BUCKETS = 1 << 18
+BITS = 18
+BUCKETS = 1 << BITS
 PAIR = np.uint64(0x9E3779B97F4A7C15)
+BASE = np.uint64(0x100000001B3)
 SAME = 0
 
 
-def _hash(data: bytes, seed: int = 0) -> int:
-    return zlib.crc32(data, seed)
-
-
-def word_features(word: str) -> list[int]:
-    """Buckets of the word and of its character n-grams."""
-    marked = f"<{word}>"
-    grams = {marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)}
-    return [_hash(word.encode(), 1) % BUCKETS, *(_hash(g.encode(), 2) % BUCKETS for g in sorted(grams))]
+def cut_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(number of each word in turn, the distinct words, words of each text)."""
+    lists = pc.utf8_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+    flat = lists.flatten()
+    kept = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(kept)])[lists.offsets.to_numpy()]
+    numbered = flat.filter(pa.array(kept)).dictionary_encode()
+    return numbered.indices.to_numpy().astype(np.int64), numbered.dictionary, np.diff(ends)
+
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (mix64(hashes) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+class WordHashes:
+    """Of distinct words: hash, bucket of the word, and buckets of its n-grams (in turn, counts of them by word)."""
+
+    def __init__(self, words: pa.Array):
+        marked = pc.binary_join_element_wise("<", words, ">", "")
+        self.sizes = pc.utf8_length(marked).to_numpy().astype(np.int64)
+        points = np.frombuffer("".join(marked.to_pylist()).encode("utf-32-le"), "<u4").astype(np.uint64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        place = np.arange(len(points)) - np.repeat(self.starts, self.sizes)
+        left = np.repeat(self.sizes, self.sizes) - place  # characters from here to the word's end
+        with np.errstate(over="ignore"):
+            powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(self.sizes.max(initial=1)) - 1, BASE)]), dtype=np.uint64)
+            sums = np.add.reduceat(points * powers[place], self.starts) if len(points) else points
+            self.hashes = mix64(sums)
+            self.own = _bucket(self.hashes + np.uint64(1))
+            self.grams = []  # (buckets at every place, whether an n-gram starts there) for each length
+            h = points.copy()
+            for n in range(2, 6):
+                k = max(0, len(h) - n + 1)
+                h[:k] = h[:k] * BASE + points[n - 1 :][:k]
+                if n > 2:
+                    self.grams.append((_bucket(h + np.uint64(n) * PAIR), left >= n))
+        self.counts = sum(np.maximum(self.sizes - n + 1, 0) for n in (3, 4, 5))
+
+    def gram_sums(self, value: np.ndarray) -> np.ndarray:
+        """Sum of the values of each word's n-grams."""
+        if not len(self.sizes):
+            return np.zeros(0)
+        total = np.zeros(int(self.sizes.sum()))
+        for buckets, there in self.grams:
+            total += np.where(there, value[buckets], 0)
+        return np.add.reduceat(total, self.starts)
+
+    def gram_buckets(self) -> np.ndarray:
+        return np.concatenate([b[there] for b, there in self.grams])
 
 
 def pair_features(hashes: np.ndarray) -> np.ndarray:
     """Buckets of neighbouring word pairs from the words' hashes; a word that repeats itself has one bucket, whatever the word."""
     with np.errstate(over="ignore"):
         mixed = (hashes[:-1] * PAIR) ^ (hashes[1:] + PAIR)
-        return np.where(hashes[:-1] == hashes[1:], SAME, ((mixed * PAIR) >> np.uint64(64 - 18)).astype(np.int64))
-
-
-class _Numbers(dict):
-    """n-gram -> its bucket's number; n-grams are few, as words share them."""
-
-    def __init__(self, value: np.ndarray, limit: int = 1 << 18):
-        super().__init__()
-        self.value, self.limit = value, limit
-
-    def __missing__(self, gram: str) -> float:
-        out = float(self.value[_hash(gram.encode(), 2) % BUCKETS])
-        if len(self) < self.limit:
-            self[gram] = out
-        return out
-
-
-class _Words(dict):
-    """word -> (its own number, sum of its n-grams' numbers, how many these are, hash); remembers the first limit words."""
-
-    def __init__(self, value: np.ndarray, limit: int):
-        super().__init__()
-        self.value, self.limit, self.grams = value, limit, _Numbers(value)
-
-    def __missing__(self, word: str):
-        marked = f"<{word}>"
-        size = len(marked)
-        grams = dict.fromkeys([marked[i : i + n] for n in (3, 4, 5) for i in range(size - n + 1)])
-        h = _hash(word.encode(), 1)
-        out = (float(self.value[h % BUCKETS]), sum(map(self.grams.__getitem__, grams)), max(1, len(grams)), h)
-        if len(self) < self.limit and size < 64:
-            self[word] = out
-        return out
+        return np.where(hashes[:-1] == hashes[1:], SAME, ((mixed * PAIR) >> np.uint64(64 - BITS)).astype(np.int64))
 
 
 @dataclass
@@ -85,30 +99,32 @@ class Model:
     value: np.ndarray  # one number per bucket: vector . (w1 - w0)
     bias: float
 
-    def score(self, texts: list[str | None], words: dict) -> np.ndarray:
-        out = np.empty(len(texts))
-        for i, t in enumerate(texts):
-            found = [words[w] for w in t.split()] if t else []
-            if not found:
-                out[i] = self.bias
-                continue
-            own, grams, counts, hashes = zip(*found, strict=True)
-            kinds = [sum(own) / len(own), sum(grams) / sum(counts)]
-            if len(hashes) > 1:
-                kinds.append(float(self.value[pair_features(np.array(hashes, np.uint64))].mean()))
-            out[i] = sum(kinds) / len(kinds) + self.bias
+    def score(self, texts: pa.Array) -> np.ndarray:
+        codes, words, counts = cut_words(texts)
+        out = np.full(len(counts), float(self.bias))
+        some = np.flatnonzero(counts)
+        if len(some):
+            value, hashed = self.value.astype(np.float64), WordHashes(words)
+            n = counts[some]
+            starts = np.cumsum(n) - n
+            total = lambda x: np.add.reduceat(x, starts)  # noqa: E731  # by document, whatever stands beside it
+            own, grams = total(value[hashed.own][codes]) / n, total(hashed.gram_sums(value)[codes]) / total(hashed.counts[codes])
+            pairs = np.append(value[pair_features(hashed.hashes[codes])], 0.0)
+            pairs[starts + n - 1] = 0.0  # from the last word of a document to the next one's first
+            kinds = np.where(n > 1, 3, 2)
+            out[some] += (own + grams + total(pairs) / np.maximum(n - 1, 1)) / kinds
         return 1 / (1 + np.exp(-np.clip(out, -60, 60)))
 
 
 def document_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, weights of sum 1) of a whole text; both empty without words."""
-    words = (text or "").split()
-    if not words:
+    codes, words, _ = cut_words(pa.array([text], pa.string()))
+    if not len(codes):
         return np.empty(0, np.int64), np.empty(0, np.float32)
-    features = [word_features(w) for w in words]
-    kinds = [np.array([f[0] for f in features], np.int64), np.array([x for f in features for x in f[1:]], np.int64)]
-    if len(words) > 1:
-        kinds.append(pair_features(np.array([_hash(w.encode(), 1) for w in words], np.uint64)))
+    hashed = WordHashes(words.take(pa.array(codes)))
+    kinds = [hashed.own, hashed.gram_buckets()]
+    if len(codes) > 1:
+        kinds.append(pair_features(hashed.hashes))
     buckets, where = np.unique(np.concatenate(kinds), return_inverse=True)
     weights = np.concatenate([np.full(len(k), 1 / (len(k) * len(kinds))) for k in kinds])
     return buckets, np.bincount(where, weights).astype(np.float32)
@@ -152,41 +168,54 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], dim: int = 10, epochs:
     return Model(vectors @ (w[1] - w[0]), float(b[1] - b[0]))
 
 
+def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = []
+    for b in batches:
+        rows += [(int(y > 0), np.frombuffer(i, "<i4"), np.frombuffer(w, "<f4")) for y, i, w in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    model = train(sorted(rows, key=lambda r: (r[0], len(r[1]), zlib.crc32(r[1]), zlib.crc32(r[2]))))  # an order of its own, whatever the partitions
+    yield pa.RecordBatch.from_arrays([pa.array([model.value.astype("<f4").tobytes()], pa.binary()), pa.array([model.bias])], names=["value", "bias"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 2500) -> Model:
     """Learns label_col from at most max_rows labelled rows outside the held-out fifth (crc32(id) mod 5 = 0)."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     key = F.col(id_col).cast("string")
     told = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (F.crc32(key) % 5 != 0))
     told = told.groupBy(F.col(id_col).alias("_id")).agg(F.round(F.avg(label_col)).cast("int").alias("y"))
     picked = told.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "_id")  # max_rows rows
-    rows = sample.select("_id", "y", "text").mapInArrow(lambda it: _counted(it), "y int, ids binary, weights binary").collect()
-    rows = [(int(r["y"] > 0), np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["weights"], "<f4")) for r in rows]
-    return train(sorted(rows, key=lambda r: (r[0], len(r[1]), zlib.crc32(r[1]), zlib.crc32(r[2]))))  # an order of its own, whatever the partitions
+    once = sample.groupBy("_id").agg(F.first("y").alias("y"), F.min("text").alias("text"))
+    features = once.select("y", "text").mapInArrow(lean(_counted), "y int, ids binary, weights binary")
+    got = features.repartition(1).mapInArrow(lean(_learned), "value binary, bias double").first()  # one row for each of max_rows labels
+    return Model(np.frombuffer(bytes(got["value"]), "<f4"), float(got["bias"])) if got else train([])
 
 
-_memos: dict = {}  # of one worker: the words of the model that it scores with
+def _scored(shared, at: int, emit):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, at):
+                yield emit(b, shared.value.score(b.column(at)))
 
+    return lean(run)
 
-def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, memo_words: int = 300_000, keep_text: bool = True) -> DataFrame:
-    """All columns of docs (the text only if keep_text), plus score (0 to 1) and predicted (1 at or above threshold); these replace columns of their names."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.drop("score", "predicted")
-    shared, at = spark.sparkContext.broadcast(model), docs.columns.index(text_col)  # BUCKETS numbers
 
+def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, keep_text: bool = True) -> DataFrame:
+    """All columns of docs (the text only if keep_text), plus score (0 to 1) and predicted (1 at or above threshold); these replace columns of their names."""
+    ship(docs.sparkSession)
+    docs = docs.drop(*{"score", "predicted"} - {text_col}).withColumn(text_col, F.col(text_col).cast("string"))
+    at = docs.columns.index(text_col)
     kept = [i for i in range(len(docs.columns)) if keep_text or i != at]
-    key = (spark.sparkContext.applicationId, shared._jbroadcast.id())
+    names = [*(docs.columns[i] for i in kept), "score", "predicted"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        if key not in _memos:
-            _memos.clear()
-            _memos[key] = _Words(m.value.astype(np.float64), memo_words)
-        words = _memos[key]
-        for b in batches:
-            score = m.score(b.column(at).to_pylist(), words)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*(b.schema.names[i] for i in kept), "score", "predicted"])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in (docs.schema.fields[i] for i in kept)), "score double", "predicted int"])
-    return docs.mapInArrow(run, schema)
+    def emit(b: pa.RecordBatch, score: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=names)
+
+    schema = T.StructType([*(docs.schema.fields[i] for i in kept), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    return docs.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(model), at, emit), schema)  # BUCKETS numbers
+
+
+def keep_quality(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of docs whose score reaches threshold, with all columns as they are."""
+    ship(docs.sparkSession)
+    emit = lambda b, score: b.filter(pa.array(score >= threshold))
+    return docs.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col), emit), docs.schema)
