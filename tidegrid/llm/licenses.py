@@ -1,15 +1,15 @@
 """Licence scans by sparse TF-IDF cosine, with inheritance along directories; DataFrame operations only.
 
-Every line of a file is a candidate header; the whole text of a licence file (LICENSE, LICENCE, COPYING,
-NOTICE) is one more unit. A unit's vector holds, for each distinct term, its idf; terms outside the templates
-take the idf of a term that no document holds. Document frequencies of template terms are counted over all
-documents. The best template at or above the threshold names the licence (ties: the first by name).
+Every line and every paragraph (lines between blank ones) of a file is a candidate header; the whole text of a licence
+file (LICENSE, LICENCE, COPYING, NOTICE) is one more unit. A unit's vector holds, for each term, how often the unit
+has it times its idf ``ln((1 + N) / (1 + df)) + 1``, with document frequencies of all terms counted over all documents;
+so does a template's. The best template at or above the threshold names the licence (ties: the first by name).
 
 Scoring is pruned exactly: the terms that are shared with templates are split so that the commoner ones alone
 cannot reach the threshold against any template; a unit without one of the others is never scored.
 
 Files without a licence of their own take that of the nearest ancestor directory with a licence file, by
-joins on (directory) of each file's ancestors; a directory is one key, and its files are never gathered.
+joins on (directory) of each file's ancestors, however deep; a directory is one key, and its files are never gathered.
 
 Nulls: a null text has no licence of its own; a null path has no directory and inherits nothing. Empty texts
 score nothing. Several licence files in one directory: highest cosine, then first by name. Repeated rows give
@@ -20,30 +20,24 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import stage
+from .common import discard, stage
+from .licence_texts import TEMPLATES
 from .urls import LOWER, UPPER
 
-# Statements of public licences.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
-    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-)
 TERM = r"[a-z0-9]+"
 LICENCE_FILE = r"^(LICENSE|LICENCE|COPYING|NOTICE)(\..*)?$"
 
 
-def terms_of(text: str) -> list[str]:
-    return sorted(set(re.findall(TERM, text.translate(str.maketrans(UPPER, LOWER)))))
+PARAGRAPHS = r"\n[ \t\r]*\n"
+
+
+def terms_of(text: str) -> dict[str, int]:
+    """How often a text has each of its terms."""
+    return dict(Counter(re.findall(TERM, text.translate(str.maketrans(UPPER, LOWER)))))
 
 
 def _terms(text: Column) -> Column:
@@ -51,63 +45,62 @@ def _terms(text: Column) -> Column:
     return F.split(F.lower(text), "[^a-z0-9]+")
 
 
-def template_idf(docs: DataFrame, text_col: str, templates=TEMPLATES) -> tuple[dict[str, float], float]:
-    """Smoothed idf ``ln((1 + N) / (1 + df)) + 1`` of each template term over all documents, and that of an unseen term."""
-    vocabulary = sorted({t for _, text in templates for t in terms_of(text)})
-    held = docs.select(F.array_intersect(_terms(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), F.array(*map(F.lit, vocabulary))).alias("t"))
-    counted = held.select(F.explode(F.array_append("t", F.lit(""))).alias("t")).groupBy("t").count().collect()  # a row per template term, and all
-    df = {r["t"]: r["count"] for r in counted}
-    n = df.get("", 0)
-    return {t: math.log((1 + n) / (1 + df.get(t, 0))) + 1 for t in vocabulary}, math.log(1 + n) + 1
+def document_frequencies(docs: DataFrame, text_col: str) -> DataFrame:
+    """term, df: over all documents."""
+    held = docs.select(F.explode(F.array_distinct(_terms(F.col(text_col).cast("string")))).alias("term")).where("term <> ''")
+    return held.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def telling_terms(idf: dict[str, float], threshold: float, templates=TEMPLATES) -> list[str]:
     """Terms of which any unit at or above the threshold holds one: the rest, by rising idf, stay below it on every template."""
-    sets = [terms_of(text) for _, text in templates]
-    plain: set[str] = set()
+    squares = [{t: (n * idf[t]) ** 2 for t, n in terms_of(text).items()} for _, text in templates]
+    bounds = [(threshold - 1e-9) ** 2 * sum(s.values()) for s in squares]
+    reached, plain = [0.0] * len(squares), set()
     for t in sorted(idf, key=lambda t: (idf[t], t)):
-        wider = plain | {t}
         # cos(unit, template) <= |template restricted to shared terms| / |template|
-        if any(sum(idf[x] ** 2 for x in s if x in wider) >= (threshold - 1e-9) ** 2 * sum(idf[x] ** 2 for x in s) for s in sets):
+        reached = [r + s.get(t, 0.0) for r, s in zip(reached, squares, strict=True)]
+        if any(r >= b for r, b in zip(reached, bounds, strict=True)):
             break
-        plain = wider
+        plain.add(t)
     return sorted(set(idf) - plain)
 
 
 def own_licences(docs: DataFrame, id_col: str, text_col: str, path_col: str, threshold: float = 0.6, templates=TEMPLATES) -> DataFrame:
     """_id, _licence, _score: a row for each file that states a licence itself."""
-    idf, unseen = template_idf(docs, text_col, templates)
-    telling = telling_terms(idf, threshold, templates)
-    if not telling:
-        telling = sorted(idf)
-    pattern = "(?i)(?<![a-z0-9])(" + "|".join(re.escape(t) for t in telling) + ")(?![a-z0-9])"
+    spark = docs.sparkSession
+    frequencies = stage(document_frequencies(docs, text_col), "term-frequencies")
+    n = docs.count()
+    vocabulary = sorted({t for _, text in templates for t in terms_of(text)})
+    df = {r["term"]: r["df"] for r in frequencies.where(F.col("term").isin(vocabulary)).collect()}  # a row per template term
+    idf = {t: math.log((1 + n) / (1 + df.get(t, 0))) + 1 for t in vocabulary}
+    telling = F.array(*map(F.lit, telling_terms(idf, threshold, templates) or vocabulary))
     text = F.col(text_col).cast("string")
-    hit = docs.where(text.rlike(pattern)).select(F.col(id_col).alias("_id"), F.col(path_col).alias("_path"), text.alias("_text"))
+    hit = docs.where(F.arrays_overlap(_terms(text), telling)).select(F.col(id_col).alias("_id"), F.col(path_col).cast("string").alias("_path"), text.alias("_text"))
     named = F.regexp_extract(F.col("_path"), r"[^/]*$", 0).rlike(LICENCE_FILE)
-    units = F.split(F.col("_text"), "\n")
-    units = F.when(named, F.array_append(units, F.col("_text"))).otherwise(units)
-    lines = hit.select("_id", F.explode(units).alias("_unit")).where(F.col("_unit").rlike(pattern)).select("_id", F.array_distinct(F.array_remove(_terms(F.col("_unit")), "")).alias("_terms"))
-
-    weights = F.create_map(*[x for t, w in sorted(idf.items()) for x in (F.lit(t), F.lit(w))])
-    weight = lambda t: F.coalesce(F.element_at(weights, t), F.lit(unseen))
-    norm = F.sqrt(F.aggregate("_terms", F.lit(0.0), lambda a, t: a + weight(t) * weight(t)))
-    scores = []
-    for name, statement in templates:
+    units = F.concat(F.split(F.col("_text"), "\n"), F.split(F.col("_text"), PARAGRAPHS), F.when(named, F.array("_text")).otherwise(F.array().cast("array<string>")))
+    units = hit.select("_id", F.explode(F.array_distinct(units)).alias("_unit")).select("_id", F.md5("_unit").alias("_u"), _terms(F.col("_unit")).alias("_terms"))
+    units = units.where(F.arrays_overlap("_terms", telling)).dropDuplicates(["_id", "_u"])
+    counts = units.select("_id", "_u", F.explode("_terms").alias("term")).where("term <> ''").groupBy("_id", "_u", "term").agg(F.count("*").alias("tf"))
+    weighed = counts.join(frequencies, "term").withColumn("w", F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).withColumn("x", F.col("tf") * F.col("w"))
+    vectors = []
+    for k, (name, statement) in enumerate(templates):
         own = terms_of(statement)
-        length = math.sqrt(sum(idf[t] ** 2 for t in own))
-        dot = F.aggregate(F.array_intersect("_terms", F.array(*map(F.lit, own))), F.lit(0.0), lambda a, t: a + weight(t) * weight(t))
-        scores.append(F.struct(F.round(F.coalesce(F.try_divide(dot, norm * length), F.lit(0.0)), 6).alias("score"), F.lit(name).alias("licence")))
-    best = lines.select("_id", F.explode(F.array(*scores)).alias("s")).where(F.col("s.score") >= threshold)
-    ranked = best.groupBy("_id").agg(F.min(F.struct((-F.col("s.score")).alias("neg"), F.col("s.licence").alias("licence"))).alias("b"))
-    return ranked.select("_id", F.col("b.licence").alias("_licence"), (-F.col("b.neg")).alias("_score"))
-
-
-def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path", threshold: float = 0.6, max_depth: int = 64, templates=TEMPLATES) -> DataFrame:
-    """id, path, licence, score, origin ('own', 'inherited' or 'none') and the directory that it comes from.
-
-    Directories deeper than max_depth are matched by their first max_depth levels.
-    """
-    own = stage(own_licences(docs, id_col, text_col, path_col, threshold, templates), "licences")
+        length = math.sqrt(sum((f * idf[t]) ** 2 for t, f in own.items()))
+        vectors += [(k, name, t, f * idf[t] / length) for t, f in own.items()]
+    known = spark.createDataFrame(vectors, "k int, licence string, term string, y double")  # as many rows as the templates have terms
+    norms = weighed.groupBy("_id", "_u").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    dots = weighed.join(F.broadcast(known), "term").groupBy("_id", "_u", "k", "licence").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    same = [F.col("d._id").eqNullSafe(F.col("n._id")), F.col("d._u") == F.col("n._u")]
+    scores = dots.alias("d").join(norms.alias("n"), same).select("d._id", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
+    ranked = scores.groupBy("_id").agg(F.min(F.struct((-F.col("score")).alias("neg"), F.col("licence").alias("licence"))).alias("b"))
+    out = stage(ranked.select("_id", F.col("b.licence").alias("_licence"), (-F.col("b.neg")).alias("_score")), "licences")
+    discard(frequencies)
+    return out
+
+
+def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "path", threshold: float = 0.6, templates=TEMPLATES) -> DataFrame:
+    """id, path, licence, score, origin ('own', 'inherited' or 'none') and the directory that it comes from."""
+    own = own_licences(docs, id_col, text_col, path_col, threshold, templates)
     files = docs.select(F.col(id_col).alias("_id"), F.col(path_col).cast("string").alias("_path")).join(own, "_id", "left")
     parts = F.split(F.col("_path"), "/")
     folder = F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), "/")
@@ -121,7 +114,7 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # One row per directory that holds a file, with its ancestors, nearest first; its grant then serves all its files.
     folders = files.where(F.col("_path").isNotNull()).select("_folder").distinct()
     steps = F.split("_folder", "/")
-    up = folders.select("_folder", F.explode(F.transform(F.sequence(F.lit(0), F.least(F.size(steps), F.lit(max_depth))), lambda i: F.struct(i.alias("d"), F.array_join(F.slice(steps, 1, i), "/").alias("a")))).alias("u"))
+    up = folders.select("_folder", F.explode(F.transform(F.sequence(F.lit(0), F.size(steps)), lambda i: F.struct(i.alias("d"), F.array_join(F.slice(steps, 1, i), "/").alias("a")))).alias("u"))
     nearest = (
         up.select("_folder", F.col("u.d").alias("_depth"), F.col("u.a").alias("_at")).join(granted, "_at")
         .groupBy("_folder").agg(F.max(F.struct("_depth", "_at", "_granted", "_granted_score")).alias("n")).select("_folder", "n.*")

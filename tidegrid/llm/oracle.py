@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import TEMPLATES, terms_of
+from .licenses import PARAGRAPHS, TEMPLATES, terms_of
 from .urls import LOWER, UPPER
 
 LINES = """WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
@@ -57,18 +57,18 @@ def url_filter(rules: list[tuple[str, str]], threshold: float = 0.3, z: float =
 
 
 def licence_scan(path_sql: str, threshold: float = 0.6) -> str:
-    rows = ", ".join(f"({i}, '{name}', {terms_of(text)!r})" for i, (name, text) in enumerate(TEMPLATES))
+    rows = ", ".join(f"({i}, '{name}', '{t}', {n})" for i, (name, text) in enumerate(TEMPLATES) for t, n in terms_of(text).items())
     names = "'^(LICENSE|LICENCE|COPYING|NOTICE)([.].*)?$'"
-    cut = lambda x: f"list_filter(list_distinct(string_split_regex(lower({x}), '[^a-z0-9]+')), lambda x: x <> '')"
-    return f"""WITH t(i, licence, terms) AS (VALUES {rows}), tt AS (SELECT i, licence, unnest(terms) AS term FROM t), d AS (SELECT doc_id, text, {path_sql.replace(' div ', ' // ')} AS path FROM documents),
+    cut = lambda x: f"list_filter(string_split_regex(lower({x}), '[^a-z0-9]+'), lambda x: x <> '')"
+    return f"""WITH tt(i, licence, term, f) AS (VALUES {rows}), d AS (SELECT doc_id, text, {path_sql.replace(' div ', ' // ')} AS path FROM documents),
  f AS (SELECT *, regexp_matches(regexp_extract(path, '[^/]*$'), {names}) AS named, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS folder FROM d),
- df AS (SELECT term, count(*) AS df FROM (SELECT unnest({cut("coalesce(text, '')")}) AS term FROM d) GROUP BY 1), n AS (SELECT count(*) AS n FROM d),
- idf AS (SELECT term, ln((1 + max(n)) / (1 + coalesce(max(df), 0))) + 1 AS w FROM (SELECT DISTINCT term FROM tt) LEFT JOIN df USING (term) CROSS JOIN n GROUP BY 1),
- u AS (SELECT doc_id, unnest(CASE WHEN named THEN list_append(string_split(text, chr(10)), text) ELSE string_split(text, chr(10)) END) AS unit FROM f WHERE text IS NOT NULL),
- ut AS (SELECT row_number() OVER () AS k, doc_id, {cut('unit')} AS terms FROM u WHERE regexp_matches(unit, '(?i)licen|permission')), ux AS (SELECT k, doc_id, unnest(terms) AS term FROM ut),
- nm AS (SELECT k, any_value(doc_id) AS doc_id, sqrt(sum(power(coalesce(w, ln(1 + n.n) + 1), 2))) AS norm FROM ux LEFT JOIN idf USING (term) CROSS JOIN n GROUP BY 1),
- tn AS (SELECT i, any_value(licence) AS licence, sqrt(sum(w * w)) AS norm FROM tt JOIN idf USING (term) GROUP BY 1),
- sc AS (SELECT ux.k, tt.i, sum(w * w) AS dot FROM ux JOIN tt USING (term) JOIN idf USING (term) GROUP BY 1, 2),
+ df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({cut("coalesce(text, '')")})) AS term FROM d) GROUP BY 1), n AS (SELECT count(*) AS n FROM d),
+ idf AS (SELECT term, ln((1 + n) / (1 + coalesce(df, 0))) + 1 AS w FROM (SELECT term FROM tt UNION SELECT term FROM df) LEFT JOIN df USING (term) CROSS JOIN n),
+ u AS (SELECT DISTINCT doc_id, unnest(list_concat(string_split(text, chr(10)), string_split_regex(text, '{PARAGRAPHS}'), CASE WHEN named THEN [text] ELSE [] END)) AS unit FROM f WHERE text IS NOT NULL),
+ ut AS (SELECT row_number() OVER () AS k, doc_id, {cut('unit')} AS terms FROM u), ux AS (SELECT k, doc_id, term, count(*) * max(w) AS x FROM (SELECT k, doc_id, unnest(terms) AS term FROM ut) JOIN idf USING (term) GROUP BY 1, 2, 3),
+ nm AS (SELECT k, any_value(doc_id) AS doc_id, sqrt(sum(x * x)) AS norm FROM ux GROUP BY 1),
+ tx AS (SELECT i, licence, term, f * w AS y FROM tt JOIN idf USING (term)), tn AS (SELECT i, any_value(licence) AS licence, sqrt(sum(y * y)) AS norm FROM tx GROUP BY 1),
+ sc AS (SELECT k, i, sum(x * y) AS dot FROM ux JOIN tx USING (term) GROUP BY 1, 2),
  cs AS (SELECT nm.doc_id, tn.licence, round(dot / (nm.norm * tn.norm), 6) AS score FROM sc JOIN nm USING (k) JOIN tn USING (i)),
  own AS (SELECT doc_id, licence, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, licence) AS r FROM cs WHERE score >= {threshold}) WHERE r = 1),
  g AS (SELECT folder AS at, licence, score FROM (SELECT f.folder, own.licence, own.score, row_number() OVER (PARTITION BY f.folder ORDER BY own.score DESC, own.licence) AS r FROM f JOIN own USING (doc_id) WHERE named) WHERE r = 1),
