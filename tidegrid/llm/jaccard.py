@@ -34,10 +34,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import discard, mix64, small_batches, stage
+from .common import discard, fresh_name, lean, mix64, ship, stage
 from .components import components
 
 HEAVY = 32
+#: Postings of a fragment that are paired at a time.
+PIECE = 1 << 18
 #: Log2 of the Bloom bits for n-grams of two documents or more, and for heavy ones.
 SHARED_BITS, HEAVY_BITS = 26, 23
 #: Log2 of the Bloom bits for classes whose sets are wanted.
@@ -49,7 +51,7 @@ STRIPE_BYTES, STRIPE_SETS = 8 << 20, 1024
 class Shingler:
     """Sorted distinct hashes of a text's word n-grams; remembers the hashes of about limit words."""
 
-    def __init__(self, size: int, limit: int = 200_000):
+    def __init__(self, size: int, limit: int = 100_000):
         self.size, self.limit, self.known = size, limit, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -108,7 +110,7 @@ class Bits:
 
 def fragments_for(spark: SparkSession) -> int:
     """A power of two, about twice the shuffle partitions that the cluster is set to."""
-    return 1 << max(5, min(14, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
+    return 1 << max(5, min(16, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
 
 
 def _by_fragment(values: np.ndarray, grams: np.ndarray, shift: np.uint64, fragments: int):
@@ -117,7 +119,7 @@ def _by_fragment(values: np.ndarray, grams: np.ndarray, shift: np.uint64, fragme
     return [(f, int(edges[f]), int(edges[f + 1])) for f in range(fragments) if edges[f] < edges[f + 1]]
 
 
-def _counts(size: int, fragments: int, flush_at: int = 3 << 19):
+def _counts(size: int, fragments: int, flush_at: int = 1 << 20):
     shift = np.uint64(64 - fragments.bit_length() + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +143,7 @@ def _counts(size: int, fragments: int, flush_at: int = 3 << 19):
         if held:
             yield flush()
 
-    return run
+    return lean(run)
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], columns: int):
@@ -170,7 +172,7 @@ def _frequent(fragments: int):
             df, g = np.add.reduceat(c, first), g[first]
             yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32()), pa.array([shared.slice_of(f, g[df >= 2])], pa.binary()), pa.array([heavy.slice_of(f, g[df >= HEAVY])], pa.binary())], names=["fragment", "shared", "heavy"])
 
-    return run
+    return lean(run)
 
 
 def gram_bits(docs: DataFrame, text_col: str, size: int, fragments: int) -> tuple[np.ndarray, np.ndarray]:
@@ -213,7 +215,7 @@ def _signatures(size: int, num: int, den: int, fragments: int, bits, at: int):
             kept = [i for i in range(b.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names=[*(b.schema.names[i] for i in kept), "cls", "n_shingles", "ell", "light", "posted", "heavies"])
 
-    return run
+    return lean(run)
 
 
 _POST = np.dtype([("gram", "<u8"), ("cls", "<i8"), ("n", "<i4"), ("ell", "<i4")])
@@ -244,7 +246,7 @@ def _postings(fragments: int, flush_at: int = 1 << 19):
         if n:
             yield flush()
 
-    return run
+    return lean(run)
 
 
 def _partial_overlaps(num: int, den: int):
@@ -252,32 +254,39 @@ def _partial_overlaps(num: int, den: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, (posts,) in _grouped(batches, 1):
-            p = np.frombuffer(b"".join(posts), _POST)
-            p = p[np.lexsort((p["cls"], p["gram"]))]
-            left, right, step = [], [], 1
-            at = np.arange(len(p))
-            while len(at):  # pairs that stand step rows apart in one list
-                at = at[at + step < len(p)]
-                at = at[p["gram"][at] == p["gram"][at + step]]
-                x, y = p["n"][at].astype(np.int64), p["n"][at + step].astype(np.int64)
-                fits = den * np.minimum(x, y) >= num * np.maximum(x, y)
-                left.append(at[fits]), right.append(at[fits] + step)
-                step += 1
-            a, b = p[np.concatenate(left)] if left else p[:0], p[np.concatenate(right)] if right else p[:0]
-            if not len(a):
-                continue
-            far = np.int32(1 << 30)
-            need = np.minimum(np.where(a["ell"] > 0, a["ell"], far), np.where(b["ell"] > 0, b["ell"], far))
-            need = np.where(need == far, 1, need)
-            order = np.lexsort((b["cls"], a["cls"]))
-            a, b, need = a["cls"][order], b["cls"][order], need[order]
-            first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-            counts = np.diff(np.append(first, len(a)))
-            for k in range(0, len(first), 1 << 16):
-                f, c = first[k : k + (1 << 16)], counts[k : k + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(a[f]), pa.array(b[f]), pa.array(c.astype(np.int32)), pa.array(need[f].astype(np.int32))], names=["a", "b", "part", "need"])
-
-    return run
+            rows = np.frombuffer(b"".join(posts), _POST)
+            rows = rows[np.lexsort((rows["cls"], rows["gram"]))]
+            borders = np.flatnonzero(np.append(True, rows["gram"][1:] != rows["gram"][:-1])) if len(rows) else np.empty(0, np.int64)
+            marks = np.searchsorted(borders, np.arange(0, len(rows), PIECE))
+            cuts = np.unique(np.append(borders[marks[marks < len(borders)]], len(rows)))
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):  # whole lists, about PIECE rows at a time
+                yield from pairs_of(rows[lo:hi])
+
+    def pairs_of(p: np.ndarray) -> Iterator[pa.RecordBatch]:
+        left, right, step = [], [], 1
+        at = np.arange(len(p))
+        while len(at):  # pairs that stand step rows apart in one list
+            at = at[at + step < len(p)]
+            at = at[p["gram"][at] == p["gram"][at + step]]
+            x, y = p["n"][at].astype(np.int64), p["n"][at + step].astype(np.int64)
+            fits = den * np.minimum(x, y) >= num * np.maximum(x, y)
+            left.append(at[fits]), right.append(at[fits] + step)
+            step += 1
+        a, b = p[np.concatenate(left)] if left else p[:0], p[np.concatenate(right)] if right else p[:0]
+        if not len(a):
+            return
+        far = np.int32(1 << 30)
+        need = np.minimum(np.where(a["ell"] > 0, a["ell"], far), np.where(b["ell"] > 0, b["ell"], far))
+        need = np.where(need == far, 1, need)
+        order = np.lexsort((b["cls"], a["cls"]))
+        a, b, need = a["cls"][order], b["cls"][order], need[order]
+        first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        counts = np.diff(np.append(first, len(a)))
+        for k in range(0, len(first), 1 << 16):
+            f, c = first[k : k + (1 << 16)], counts[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(a[f]), pa.array(b[f]), pa.array(c.astype(np.int32)), pa.array(need[f].astype(np.int32))], names=["a", "b", "part", "need"])
+
+    return lean(run)
 
 
 def _wanted_bits(classes: DataFrame) -> np.ndarray:
@@ -305,7 +314,7 @@ def _sets(size: int, wanted):
                     cls.append(c), grams.append(g.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(grams, pa.binary())], names=["cls", "grams"])
 
-    return run
+    return lean(run)
 
 
 def _linked(num: int, den: int):
@@ -318,7 +327,7 @@ def _linked(num: int, den: int):
                 keep.append(den * both >= num * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return run
+    return lean(run)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -354,7 +363,7 @@ def _stripe_links(num: int, den: int, width: int = 4096):
             found, n = (cls[a], linked.sum(1)) if own else (np.append(cls[a], cls[b]), np.append(linked.sum(1), linked.sum(0)))
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["node", "n"])
 
-    return run
+    return lean(run)
 
 
 def _degrees(links: DataFrame, roots: DataFrame, heavy: DataFrame, sets: DataFrame, num: int, den: int, fragments: int) -> DataFrame:
@@ -391,7 +400,10 @@ def _heavy_links(lists: DataFrame, links: DataFrame, sets: DataFrame, num: int,
             pairs = posts.join(mixed.select("gram", "p"), "gram").where((F.col("comp") != F.col("p.comp")) & may_link(F.col("n"), F.col("light"), F.col("p.n"), F.col("p.light")))
             pairs = pairs.select(F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b")).distinct()
         else:
-            rest = stage(posts.join(mixed.select("gram"), "gram", "left_semi"), "heavy-lists")
+            # The second bound is that two excesses of light n-grams sum to 0 at most: whoever exceeds the list's least one too far has no partner.
+            excess = (F.col("light") * (den + num) - F.col("n") * (den - num)).cast("long")
+            least = posts.join(mixed.select("gram"), "gram", "left_semi").groupBy("gram").agg(F.min(excess).alias("least"))
+            rest = stage(posts.join(least, "gram").where(excess + F.col("least") <= 0).drop("least"), "heavy-lists")
             x, y = (rest.select(*[F.col(c).alias(f"{c}_{s}") for c in ("gram", "cls", "n", "light", "comp")]) for s in "ab")
             pairs = x.join(y, (F.col("gram_a") == F.col("gram_b")) & (F.col("cls_a") < F.col("cls_b")) & (F.col("comp_a") != F.col("comp_b")) & may_link(F.col("n_a"), F.col("light_a"), F.col("n_b"), F.col("light_b")))
             need = F.greatest(F.lit(1), 1 + F.least("n_a", "n_b").cast("int") / 10 - F.least("light_a", "light_b") - 1)
@@ -407,7 +419,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     count_links there is no such column, and links that connect no components are not searched for.
     """
     spark = docs.sparkSession
-    small_batches(spark, 64)  # rows hold whole sets, or a task's share of a fragment
+    ship(spark)  # rows hold whole sets, or a task's share of a fragment
     fragments = fragments_for(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
     bits = gram_bits(rows, "text", size, fragments)
@@ -458,12 +470,15 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs without near copies: of each component the lowest (id, text hash) stays, once.
 
-    Rows with an empty set, or a null id, are copies of nothing and all stay.
+    Rows with an empty set, or a null id, are copies of nothing and all stay. All columns stay, whatever their names.
     """
     groups = jaccard_components(docs, id_col=id_col, text_col=text_col, count_links=False, **options)
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     kept = groups.where(~alone).groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k.*")
     kept = stage(kept.withColumn("_once", F.lit(True)).unionByName(groups.where(alone).select("doc_id", "text_hash").distinct().withColumn("_once", F.lit(False))), "kept-documents")
-    keyed = docs.withColumn("_hash", F.xxhash64(F.col(text_col).cast("string")))
-    found = keyed.join(kept, keyed[id_col].eqNullSafe(kept["doc_id"]) & (keyed["_hash"] == kept["text_hash"])).select(*[keyed[c] for c in [*docs.columns, "_hash"]], "_once")
-    return found.where("_once").dropDuplicates([id_col, "_hash"]).unionByName(found.where("NOT _once")).select(docs.columns)
+    once, digest = fresh_name(docs, "once"), fresh_name(docs, "digest")
+    keyed = docs.withColumn(digest, F.xxhash64(F.col(text_col).cast("string")))
+    marks = kept.toDF(*(fresh_name(keyed, c) for c in ("kept_id", "kept_hash")), once)
+    same = keyed[id_col].eqNullSafe(marks[marks.columns[0]]) & (keyed[digest] == marks[marks.columns[1]])
+    found = keyed.join(marks, same).drop(*marks.columns[:2])
+    return found.where(F.col(once)).dropDuplicates([id_col, digest]).unionByName(found.where(~F.col(once))).select(*[f"`{c}`" for c in docs.columns])
