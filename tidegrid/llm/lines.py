@@ -21,10 +21,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import small_batches, stage
+from .common import fresh_name, lean, ship, stage
 
 #: Boilerplate hashes up to this number (8 bytes each) are broadcast; more are joined by salted shuffles.
-BROADCAST_LINES = 1 << 20
+BROADCAST_LINES = 1 << 17
 SALTS = 64
 
 
@@ -67,26 +67,27 @@ def _cleaner(known, min_chars: int, text_at: int, id_at: int | None = None):
             columns = [pa.array(texts, pa.string()) if i == text_at else c for i, c in enumerate(b.columns)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(totals, pa.int32()), pa.array(removed, pa.int32())], names=[*b.schema.names, "n_lines", "n_removed"])
 
-    return run
+    return lean(run)
 
 
 def _joined(docs: DataFrame, bad: DataFrame, text_col: str, min_chars: int, keep_in: str | None = None) -> DataFrame:
     """For a boilerplate set without a small bound: lines are matched by (hash, salt), and each document gets its own bad hashes."""
-    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "line-docs")
+    row, gone, home = (fresh_name(docs, n) for n in ("_row", "_bad", "_home"))
+    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "line-docs")
     own = F.col(keep_in) if keep_in else F.lit(None)
-    lines = rows.select("_row", own.alias("_own"), F.explode(F.array_distinct(F.split(F.col(text_col).cast("string"), "\n"))).alias("_line"))
-    lines = lines.where(F.length("_line") >= min_chars).select("_row", "_own", F.xxhash64("_line").alias("line_hash"), F.pmod(F.xxhash64("_row"), F.lit(SALTS)).alias("_salt"))
+    lines = rows.select(F.col(row).alias("_r"), own.alias("_own"), F.explode(F.array_distinct(F.split(F.col(text_col).cast("string"), "\n"))).alias("_line"))
+    lines = lines.where(F.length("_line") >= min_chars).select("_r", "_own", F.xxhash64("_line").alias("line_hash"), F.pmod(F.xxhash64("_r"), F.lit(SALTS)).alias("_salt"))
     at_home = F.col("home").eqNullSafe(F.col("_own")) if keep_in else F.lit(False)
     salted = bad.select(*bad.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"))
-    hits = lines.join(salted, ["line_hash", "_salt"]).groupBy("_row").agg(F.collect_set(F.when(~at_home, F.col("line_hash"))).alias("_bad"), F.collect_set(F.when(at_home, F.col("line_hash"))).alias("_home"))
+    hits = lines.join(salted, ["line_hash", "_salt"]).groupBy(F.col("_r").alias(row)).agg(F.collect_set(F.when(~at_home, F.col("line_hash"))).alias(gone), F.collect_set(F.when(at_home, F.col("line_hash"))).alias(home))
     all_lines = F.split(F.col(text_col).cast("string"), "\n")
-    again = lambda x, i: F.array_contains(F.col("_home"), F.xxhash64(x)) & (F.array_position(all_lines, x) <= i)
-    kept = F.filter(all_lines, lambda x, i: (F.length(x) < min_chars) | ~(F.array_contains(F.col("_bad"), F.xxhash64(x)) | again(x, i)))
-    out = rows.join(hits, "_row", "left")
+    again = lambda x, i: F.array_contains(F.col(home), F.xxhash64(x)) & (F.array_position(all_lines, x) <= i)
+    kept = F.filter(all_lines, lambda x, i: (F.length(x) < min_chars) | ~(F.array_contains(F.col(gone), F.xxhash64(x)) | again(x, i)))
+    out = rows.join(hits, row, "left")
     return out.select(
-        *[F.when(F.col("_bad").isNull(), F.col(c)).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else F.col(c) for c in docs.columns],
+        *[F.when(F.col(gone).isNull(), F.col(c)).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
         F.when(F.col(text_col).isNull(), 0).otherwise(F.size(all_lines)).alias("n_lines"),
-        F.when(F.col("_bad").isNull(), 0).otherwise(F.size(all_lines) - F.size(kept)).alias("n_removed"),
+        F.when(F.col(gone).isNull(), 0).otherwise(F.size(all_lines) - F.size(kept)).alias("n_removed"),
     )
 
 
@@ -97,8 +98,8 @@ def clean_lines(docs: DataFrame, text_col: str = "text", site_col: str = "source
     bad = boilerplate(docs, text_col, site_col, min_sites, min_chars, lg_k, keep_in)
     if bad.limit(broadcast_lines + 1).count() > broadcast_lines:
         return _joined(docs, bad, text_col, min_chars, keep_in)
-    known = bad.drop("sites").collect()  # at most broadcast_lines rows
-    found = np.array([r[0] for r in known], np.int64).astype(np.uint64), [r[1] for r in known] if keep_in else None
-    small_batches(spark)
+    known = bad.drop("sites").toArrow()  # at most broadcast_lines rows
+    found = known.column("line_hash").to_numpy().astype(np.int64).view(np.uint64), known.column("home").to_pylist() if keep_in else None
+    ship(spark)
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.IntegerType()), T.StructField("n_removed", T.IntegerType())])
     return docs.mapInArrow(_cleaner(spark.sparkContext.broadcast(found), min_chars, docs.columns.index(text_col), docs.columns.index(keep_in) if keep_in else None), schema)

@@ -28,14 +28,17 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(F.translate(raw, UPPER, LOWER), F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def longest_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
-    """(rule, verdict) of the longest rule that fits host (or a parent domain) and path prefix; null where none fits."""
-    rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for kind, text in sorted(rules, key=lambda r: (len(r[1]), r[1])):  # longest last, so that it ends outermost
-        name, slash, prefix = text.partition("/")
-        fits = ((host == name) | host.endswith("." + name)) & path.startswith(slash + prefix)
-        rule, verdict = F.when(fits, text).otherwise(rule), F.when(fits, kind).otherwise(verdict)
-    return rule, verdict
+def rules_of_hosts(hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """host, rules: for each host the rules (text, kind) of itself and of its parent domains, by a join on the rule's domain."""
+    named = rules.select(F.length("text").alias("size"), "text", "kind", F.substring_index("text", "/", 1).alias("_at"), F.expr("CASE WHEN instr(text, '/') > 0 THEN substring(text, instr(text, '/')) ELSE '' END").alias("prefix"))
+    labels = F.split("host", r"\.")
+    parents = hosts.select("host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("_at"))
+    return parents.join(named, "_at").groupBy("host").agg(F.collect_list(F.struct("size", "text", "kind", "prefix")).alias("rules"))
+
+
+def longest_rule(path: Column, rules: Column) -> Column:
+    """struct<size, text, kind, prefix>: the longest of a host's rules whose prefix the path has (ties: the last by text); null for none."""
+    return F.array_max(F.filter(rules, lambda r: path.startswith(r["prefix"])))
 
 
 def _strength(level: DataFrame, k: str, n: str, low: float = 1.0, high: float = 1000.0) -> DataFrame:
@@ -79,16 +82,21 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, page_col: str = "page
 
 
 def filter_urls(
-    pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], threshold: float = 0.3, z: float = 1.645, page_col: str = "page_id", url_col: str = "url"
+    pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], threshold: float = 0.3, z: float = 1.645, page_col: str = "page_id", url_col: str = "url", bad_col: str = "bad"
 ) -> DataFrame:
-    """page_id, host, path, rule, verdict, posterior: allow or block by the longest rule, else by the host's posterior bound."""
+    """page_id, host, path, rule, verdict, bad_rate: allow or block by the longest rule, else by the host's posterior bound.
+
+    rules are (kind, domain with an optional path prefix), however many; they are joined to the hosts, not to the pages.
+    """
+    table = pages.sparkSession.createDataFrame([(k, t) for k, t in rules], "kind string, text string")
     host, path = host_and_path(F.col(url_col).cast("string"))
     parsed = pages.select(F.col(page_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    told = outcomes.select(F.col(page_col).alias("page_id"), F.col("bad").alias("bad"))
+    told = outcomes.select(F.col(page_col).alias("page_id"), F.col(bad_col).alias("bad"))
     known = host_reputation(parsed, told, z=z).select("host", "mean", "lower")
-    rule, kind = longest_rule(F.col("host"), F.col("path"), rules)
-    return parsed.join(known, "host", "left").select(
-        "page_id", "host", "path", rule.alias("rule"),
-        F.coalesce(kind, F.when(F.col("lower") > threshold, "block").otherwise("allow")).alias("verdict"),
+    known = known.join(rules_of_hosts(known.select("host"), table), "host", "left")
+    judged = parsed.join(known, "host", "left").withColumn("_rule", longest_rule(F.col("path"), F.col("rules")))
+    return judged.select(
+        "page_id", "host", "path", F.col("_rule.text").alias("rule"),
+        F.coalesce("_rule.kind", F.when(F.col("lower") > threshold, "block").otherwise("allow")).alias("verdict"),
         F.round("mean", 6).alias("bad_rate"),
     )
