@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,6 +113,8 @@ def leaks_by_brute_force(docs, items, radius_free=True, k=5, threshold=0.8):
         w = cut(t)
         for i, (own, kk) in parts.items():
             a, m = set(grams(own, kk)), len(own)
+            if a.isdisjoint(grams(w, kk)):
+                continue
             for s in range(max(1, len(w) - m + 1)):
                 b = set(grams(w[s : s + m], kk))
                 both = sum(map(weight, a & b))
@@ -147,6 +151,28 @@ def test_blocks_guarantee_the_radius(spark):
         assert any((x >> a) & ((1 << n) - 1) == (y >> a) & ((1 << n) - 1) for a, n in blocks)
 
 
+def test_leaks_of_shared_templates(spark):
+    """Items that share two templates, asked under the other one: all exact similarities are near 0.8 or above."""
+    rng = random.Random(11)
+    text = lambda n: [f"v{rng.randrange(5000)}" for _ in range(n)]
+    templates = [text(60), text(60)]
+    items, docs = [], []
+    for i in range(120):
+        own = text(240)
+        items.append((i, " ".join([*templates[i % 2], *own])))
+        docs.append((i, " ".join([*templates[1 - i % 2], *own])))
+    light = text(100)  # an item of light shingles only, with heavy changes
+    items += [(1000 + j, " ".join([*light, *text(j)])) for j in range(40)]
+    for j in range(60):
+        c = list(light)
+        for _ in range(rng.choice([0, 1, 2])):
+            c[rng.randrange(100)] = "changed"
+        docs.append((1000 + j, " ".join([*text(30), *c, *text(30)])))
+    want = leaks_by_brute_force(docs, items)
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got <= want and len(want) > 150 and len(got) >= 0.99 * len(want)
+
+
 def test_quality(spark):
     rng = random.Random(1)
     good = lambda: " ".join(rng.choice(["the", "river", "flows", "slowly", "toward", "green", "hills", "and", "rests"]) for _ in range(60))
@@ -167,6 +193,55 @@ def test_quality(spark):
     assert quality.fit(docs, labels.limit(0)).bias == 0.0
 
 
+def test_scores_are_those_of_a_plain_forward_pass(spark):
+    """Word by word in plain Python: mean of each kind of feature's numbers, then the logistic."""
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+        return x ^ (x >> 31)
+
+    base, pair = int(quality.BASE), int(quality.PAIR)
+    word_hash = lambda w: mix(sum(ord(c) * pow(base, i, 1 << 64) for i, c in enumerate(f"<{w}>")) & mask)
+
+    def gram(g):
+        h = ord(g[0])
+        for c in g[1:]:
+            h = (h * base + ord(c)) & mask
+        return mix((h + len(g) * pair) & mask) >> 46
+
+    def two(a, b):
+        return 0 if a == b else (((((a * pair) & mask) ^ ((b + pair) & mask)) * pair) & mask) >> 46
+
+    rng = np.random.default_rng(3)
+    model = quality.Model(rng.normal(0, 2, quality.BUCKETS).astype(np.float32), 0.25)
+    value = model.value.astype(float)
+
+    def plain(text):
+        words = (text or "").split()
+        if not words:
+            return 1 / (1 + math.exp(-0.25))
+        hashes = [word_hash(w) for w in words]
+        grams = [gram(f"<{w}>"[i : i + n]) for w in words for n in (3, 4, 5) for i in range(len(w) + 3 - n)]
+        kinds = [np.mean([value[mix((h + 1) & mask) >> 46] for h in hashes]), np.mean(value[grams])]
+        if len(words) > 1:
+            kinds.append(np.mean([value[two(a, b)] for a, b in zip(hashes, hashes[1:], strict=False)]))
+        return 1 / (1 + math.exp(-(sum(kinds) / len(kinds) + 0.25)))
+
+    texts = [None, "", " \n ", "a", "one two", "two  two\ttwo\n", "\u00e9t\u00e9 \u4e2d\u6587 \U0001f600 end", "word " * 3000, "x" * 50_000, "The river, the hills; and THE river.", "one two"]
+    got = model.score(pa.array(texts, pa.string()))
+    assert np.allclose(got, [plain(t) for t in texts], rtol=0, atol=1e-9) and got[4] == got[-1]
+    df = spark.createDataFrame([(i, t, 1.5, "p") for i, t in enumerate(texts)], "doc_id long, text string, score double, predicted string")
+    assert {r["doc_id"]: r["score"] for r in quality.score_quality(df, model).collect()} == dict(enumerate(got.tolist()))
+    kept = quality.keep_quality(df, model, threshold=0.5)
+    assert kept.schema == df.schema and {(r["doc_id"], r["score"], r["predicted"]) for r in kept.collect()} == {(i, 1.5, "p") for i, g in enumerate(got) if g >= 0.5}
+    for t in texts:  # training sees the same features
+        buckets, weights = quality.document_features(t)
+        logit = float((value[buckets] * weights).sum()) + 0.25
+        assert abs(1 / (1 + math.exp(-logit)) - plain(t)) < 1e-4
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as p
 

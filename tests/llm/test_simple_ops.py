@@ -1,11 +1,11 @@
 """Shards, urls, licences, lines: small cases and brute force."""
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from tidegrid.llm import licenses, lines, shards, urls
+from tidegrid.llm import jaccard, licence_texts as licences, licenses, lines, shards, urls
 from tidegrid.llm.queries import URL_RULES
 
 DOCS = "doc_id long, text string, source string, pid int, n int"
@@ -24,6 +24,12 @@ def test_shards(spark):
     order = sorted(got, key=lambda r: (r["shard"], r["slot"]))
     ids = [r["doc_id"] for r in order]
     assert ids[0] is None and ids[1:] == sorted(ids[1:])
+    at, slots, want = 0, Counter(), []  # a prefix sum over all rows, in plain Python
+    for i, n, c in sorted(((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1], x[2])):
+        k = at * 8 // total
+        want.append((i, n, c, k, slots[k]))
+        at, slots[k] = at + n, slots[k] + 1
+    assert [(r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in order] == want
     assert {r["text_crc32"] for r in got if r["doc_id"] == 5} == {zlib.crc32(("é" * 35).encode()), zlib.crc32(b"dup")}
     assert shards.shard_by_bytes(spark.createDataFrame([], DOCS)).count() == 0
 
@@ -51,6 +57,19 @@ def test_reputation_shrinks(spark):
     assert got[900]["bad_rate"] > got[901]["bad_rate"] and got[0]["bad_rate"] >= got[900]["bad_rate"]
 
 
+def test_odd_columns_stay(spark):
+    """Columns with the operators' own names, on every path."""
+    text = "a line that is shared by all the sites here\nown words of number {}"
+    names = "doc_id long, text string, source string, _bad int, _row int, _home int, _hash string, _once string, once string, digest int"
+    df = spark.createDataFrame([(i, text.format(i % 9), f"s{i}", 1, 2, 3, "h", "o", "p", i) for i in range(12)], names)
+    for limit in (100, 0):
+        got = lines.clean_lines(df, broadcast_lines=limit)
+        assert got.columns == [*df.columns, "n_lines", "n_removed"]
+        assert {(r["_bad"], r["_row"], r["_home"], r["n_removed"], r["text"]) for r in got.collect()} == {(1, 2, 3, 1, f"own words of number {i}") for i in range(9)}
+    kept = jaccard.one_of_each(df)
+    assert kept.columns == df.columns and sorted((r["doc_id"], r["digest"], r["_once"]) for r in kept.collect()) == [(0, 0, "o")]  # near copies
+
+
 def test_licences(spark):
     rows = [
         (1, "intro\nReleased under the MIT License.\nend", "a/b/c.txt"), (2, "Licensed under CC BY-NC 4.0.", "a/LICENSE"), (3, "nothing here", "a/b/d.txt"), (4, "nothing", "z/q.txt"),
@@ -65,14 +84,29 @@ def test_licences(spark):
     assert licenses.scan_licences(df.limit(0)).count() == 0
 
 
+def test_licence_texts_and_deep_paths(spark):
+    """Opening lines of usual licence files; a file 70 directories deep inherits from its own directory."""
+    gpl = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed."
+    deep = "/".join(f"d{i}" for i in range(70))
+    rows = [
+        (1, gpl, "g/LICENSE"), (2, "x = 1", "g/a.py"), (3, "                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007", "l/COPYING"),
+        (4, "BSD 3-Clause License\n\nCopyright (c) 2020, Somebody\n\n" + licences.BSD_GRANT.replace(", ", ",\n"), "b/LICENSE.txt"), (5, "ISC License\n\nCopyright (c) 2020, Somebody\n\n" + licences.ISC_GRANT, "i/LICENSE"),
+        (6, "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n\nprint(1)", "h/a.py"),
+        (7, licences.MIT_GRANT, f"{deep}/LICENSE"), (8, "y", f"{deep}/f.py"), (9, "Licensed under CC BY-NC 4.0.", "d0/LICENSE"), (10, "z", f"{deep}/more/f.py"),
+    ] + [(100 + i, f"the and of to in is that it was for {i} words of plain text", f"p/{i}") for i in range(60)]
+    got = {r["doc_id"]: (r["licence"], r["origin"]) for r in licenses.scan_licences(spark.createDataFrame(rows, "doc_id long, text string, path string")).collect()}
+    assert got[1] == ("GPL-3.0", "own") and got[2] == ("GPL-3.0", "inherited") and got[3] == ("LGPL-3.0", "own") and got[4][0].startswith("BSD") and got[5] == ("ISC", "own")
+    assert got[6] == ("GPL-3.0", "own") and got[8] == ("MIT", "inherited") and got[10] == ("MIT", "inherited") and got[100] == (None, "none")
+
+
 def test_licence_pruning_is_exact(spark):
-    """Lines that lack all telling terms stay below the threshold."""
+    """Units that lack all telling terms stay below the threshold."""
     idf = {t: 1.0 + (i % 5) for i, t in enumerate(sorted({x for _, s in licenses.TEMPLATES for x in licenses.terms_of(s)}))}
     telling = set(licenses.telling_terms(idf, 0.6))
     for _, s in licenses.TEMPLATES:
         own = licenses.terms_of(s)
-        plain = [t for t in own if t not in telling]
-        assert sum(idf[t] ** 2 for t in plain) < 0.36 * sum(idf[t] ** 2 for t in own)
+        assert sum((n * idf[t]) ** 2 for t, n in own.items() if t not in telling) < 0.36 * sum((n * idf[t]) ** 2 for t, n in own.items())
+
 
 
 def test_line_dedup_is_brute_force_on_both_paths(spark):
