@@ -13,14 +13,14 @@ from tidegrid.llm.common import stage, table
 from tidegrid.llm.decontaminate import without_leaks
 from tidegrid.llm.jaccard import one_of_each
 from tidegrid.llm.lines import clean_lines
-from tidegrid.llm.quality import fit, score_quality
+from tidegrid.llm.quality import fit, keep_quality
 from tidegrid.llm.queries import token_pattern, tokenizer_file
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs, model).where("predicted = 1").select(docs.columns)
+    return keep_quality(docs, model)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +48,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text that is left, and a digest of what they decode to."""
     ranks = bpe.read_ranks(tokenizer_file("byte_bpe_50k.tiktoken"))
-    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, token_pattern())
-    digested = coded.select("doc_id", "lang", "source", "ids", bpe.digests(F.col("ids"), ranks).alias("d"))
-    return digested.select("doc_id", "lang", "source", "ids", "d.n_tokens", "d.decoded_sha256")
+    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, token_pattern(), dictionary_words=1 << 18, digests=True)  # a smaller dictionary spares the driver
+    return coded.select("doc_id", "lang", "source", "ids", "n_tokens", "decoded_sha256")
 
 
 STAGES = [("quality", quality), ("line dedup", line_dedup), ("near copies", near_copies), ("decontamination", decontamination), ("tokens", tokens)]
