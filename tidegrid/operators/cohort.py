@@ -55,3 +55,16 @@ def gold(first: DataFrame, second: DataFrame, entity: str) -> DataFrame:
     b = second.select(entity).distinct().withColumn("_b", F.lit(1))
     origin = F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), "both").when(F.col("_a").isNotNull(), "first only").otherwise("second only")
     return a.join(b, entity, "full").select(entity, origin.alias("origin"))
+
+
+def dense_before(events: DataFrame, readings: DataFrame, entity: str, event_ts: str, ts: str, row: str, hours: int = 6, least: float = 0.8, slots_per_hour: int = 12) -> DataFrame:
+    """Entities with an event before which, in [t - hours, t), more than least of the slots hold a reading.
+
+    Events and readings are united and read in one window pass per entity, so that nothing multiplies.
+    """
+    width = 3600 // slots_per_hour
+    slots = readings.select(entity, F.col(ts).alias("_t"), F.lit(None).cast("long").alias("_e"), (F.unix_seconds(F.col(ts).cast("timestamp")) / width).cast("long").alias("_s"))
+    marks = events.where(F.col(event_ts).isNotNull()).select(entity, F.col(event_ts).alias("_t"), F.col(row).cast("long").alias("_e"), F.lit(None).cast("long").alias("_s"))
+    frame = f"OVER (PARTITION BY {entity} ORDER BY _t RANGE BETWEEN INTERVAL '{hours // 24} {hours % 24}:00:00.000000' DAY TO SECOND PRECEDING AND INTERVAL '0 0:00:00.000001' DAY TO SECOND PRECEDING)"
+    seen = slots.unionByName(marks).select(entity, "_e", F.expr(f"size(collect_set(_s) {frame})").alias("n"))
+    return seen.where(F.col("_e").isNotNull() & (F.col("n") / F.lit(float(hours * slots_per_hour)) > least)).select(entity).distinct()

@@ -1,16 +1,17 @@
-"""Evaluation of scored outcomes. Curves have one row per distinct score, so their windows see far fewer rows than the input."""
+"""Evaluation of scored outcomes. Curves have one row per distinct score, and their running sums are put together from buckets of scores."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.prefix import running, value_bucket
+
 
 def curve(df: DataFrame, score: str, label: str) -> DataFrame:
-    """threshold, tp, fp, p, n at each distinct score, from high to low (score >= threshold is positive)."""
+    """threshold, t, f, tp, fp, p, n at each distinct score, from high to low (score >= threshold is positive); t and f are its own rows."""
     by = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.count(F.when(F.col(label) == 1, 1)).alias("t"), F.count(F.when(F.col(label) != 1, 1)).alias("f"))
-    down = W.orderBy(F.desc("threshold")).rowsBetween(W.unboundedPreceding, 0)
-    both = W.orderBy(F.desc("threshold")).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    return by.select("threshold", F.sum("t").over(down).alias("tp"), F.sum("f").over(down).alias("fp"), F.sum("t").over(both).alias("p"), F.sum("f").over(both).alias("n"))
+    sums = running(by, value_bucket(by, "threshold", descending=True), [F.desc("threshold")], {"tp": "t", "fp": "f"})
+    return sums.withColumnsRenamed({"tp_all": "p", "fp_all": "n"})
 
 
 def _rates(c: DataFrame) -> DataFrame:
@@ -21,25 +22,21 @@ def _rates(c: DataFrame) -> DataFrame:
 
 def auroc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the ROC curve; ties count half. Null with a single class."""
-    c = curve(df, score, label)
-    w = W.orderBy(F.desc("threshold"))
-    tp0, fp0 = F.coalesce(F.lag("tp").over(w), F.lit(0)), F.coalesce(F.lag("fp").over(w), F.lit(0))
-    step = c.withColumn("_a", (F.col("fp") - fp0) * (F.col("tp") + tp0) / 2.0)
+    step = curve(df, score, label).withColumn("_a", F.col("f") * (2 * F.col("tp") - F.col("t")) / 2.0)
     return step.agg(F.try_divide(F.sum("_a"), F.max(F.col("p").cast("double") * F.col("n"))).alias("auroc"))
 
 
 def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
     c = _rates(curve(df, score, label))
-    gain = F.col("recall") - F.coalesce(F.lag("recall").over(W.orderBy(F.desc("threshold"))), F.lit(0.0))
-    return c.withColumn("_a", gain * F.col("precision")).agg(F.sum("_a").alias("average_precision"))
+    return c.withColumn("_a", F.try_divide("t", "p") * F.col("precision")).agg(F.sum("_a").alias("average_precision"))
 
 
 def pr_trapezoid(df: DataFrame, score: str, label: str) -> DataFrame:
     """Trapezoid area under the precision-recall points, from (recall 0, precision 1)."""
-    c, w = _rates(curve(df, score, label)), W.orderBy(F.desc("threshold"))
-    gain = F.col("recall") - F.coalesce(F.lag("recall").over(w), F.lit(0.0))
-    mean = (F.col("precision") + F.coalesce(F.lag("precision").over(w), F.lit(1.0))) / 2
-    return c.withColumn("_a", gain * mean).agg(F.sum("_a").alias("pr_area"))
+    c = _rates(curve(df, score, label))
+    tp0, fp0 = F.col("tp") - F.col("t"), F.col("fp") - F.col("f")
+    mean = (F.col("precision") + F.coalesce(F.try_divide(tp0, tp0 + fp0), F.lit(1.0))) / 2
+    return c.withColumn("_a", F.try_divide("t", "p") * mean).agg(F.sum("_a").alias("pr_area"))
 
 
 def _best(c: DataFrame, goal: Column, name: str, also: dict[str, Column]) -> DataFrame:
@@ -101,25 +98,36 @@ def priority_decision(scores: dict[int, tuple[Column, float]]) -> Column:
 
 
 def bootstrap_auroc(df: DataFrame, score: str, label: str, row: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
-    """low, high (2.5 and 97.5 %) of AUROC over Poisson resamples drawn from hashes of (row, replicate)."""
-    u = (F.pmod(F.xxhash64(F.col(row), F.col("b"), F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    x = df.select(row, F.col(score).alias("s"), F.col(label).alias("y"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("b"))
-    weight, term, total = F.lit(0), 0.36787944117144233, 0.36787944117144233
-    for k in range(1, 9):  # inverse of the Poisson(1) distribution
-        weight = weight + F.when(u > total, 1).otherwise(0)
-        term /= k
-        total += term
-    by = x.withColumn("w", weight).where("w > 0").groupBy("b", "s").agg(F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0)).alias("t"), F.sum(F.when(F.col("y") != 1, F.col("w")).otherwise(0)).alias("f"))
-    above = F.coalesce(F.sum("t").over(W.partitionBy("b").orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    per = by.withColumn("a", F.col("f") * (above + F.col("t") / 2)).groupBy("b").agg(F.try_divide(F.sum("a"), F.sum("t").cast("double") * F.sum("f")).alias("auc"))
+    """low, high (2.5 and 97.5 %) of AUROC over Poisson resamples.
+
+    Rows of one score and label are counted first, so that a replicate draws for distinct (score, label) pairs, not for
+    rows: a pair of k rows is drawn Poisson(k) times, by the normal approximation (at least 0) from k = 30 on. The draws
+    are hashes of (score, label, replicate) and seed; row only names the rows' key. Resampling with replacement draws
+    exactly as many rows each time; these resamples do so on average.
+    """
+    pairs = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("s"), F.when(F.col(label) == 1, 1).otherwise(0).alias("y")).agg(F.count(F.lit(1)).alias("k"))
+    x = pairs.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    uniform = lambda n: (F.pmod(F.xxhash64("s", "y", "b", F.lit(seed + n)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    mean = F.col("k").cast("double")
+    normal = F.greatest(F.lit(0.0), F.round(mean + F.sqrt(mean) * F.sqrt(-2 * F.log(uniform(0))) * F.cos(2 * F.pi() * uniform(1))))
+    steps = F.sequence(F.lit(1), F.lit(120))  # inverse of the Poisson distribution, for means below 30
+    small = F.aggregate(
+        steps, F.struct(F.exp(-mean).alias("term"), F.exp(-mean).alias("total"), F.lit(0.0).alias("w")),
+        lambda a, i: F.when(uniform(0) <= a["total"], a).otherwise(F.struct((a["term"] * mean / i).alias("term"), (a["total"] + a["term"] * mean / i).alias("total"), i.cast("double").alias("w"))), lambda a: a["w"],
+    )
+    by = x.withColumn("w", F.when(F.col("k") >= 30, normal).otherwise(small)).where("w > 0").groupBy("b", "s").agg(F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0.0)).alias("t"), F.sum(F.when(F.col("y") != 1, F.col("w")).otherwise(0.0)).alias("f"))
+    above = F.coalesce(F.sum("t").over(W.partitionBy("b").orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    per = by.withColumn("a", F.col("f") * (above + F.col("t") / 2)).groupBy("b").agg(F.try_divide(F.sum("a"), F.sum("t") * F.sum("f")).alias("auc"))
     return per.where("auc IS NOT NULL").agg(F.percentile("auc", 0.025).alias("low"), F.percentile("auc", 0.975).alias("high"), F.count("*").alias("replicates"))
 
 
-def class_weights(df: DataFrame, label: str) -> DataFrame:
-    """label, n, balanced weight n_all / (classes * n)."""
+def class_weights(df: DataFrame, label: str, kind: str = "balanced") -> DataFrame:
+    """label, n, weight: 'balanced' n_all / (classes * n); 'inverse' 1 / n, scaled to sum 1; 'ratio' n of the other rows / n."""
     c = df.groupBy(label).count()
-    all_ = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    return c.select(label, F.col("count").alias("n"), (F.sum("count").over(all_) / (F.count("*").over(all_) * F.col("count"))).alias("weight"))
+    all_ = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)  # one row per class
+    n, total = F.col("count"), F.sum("count").over(all_)
+    weight = {"balanced": total / (F.count("*").over(all_) * n), "inverse": (1 / n) / F.sum(1 / n).over(all_), "ratio": (total - n) / n}[kind]
+    return c.select(label, n.alias("n"), weight.alias("weight"))
 
 
 def chi_square_2x2(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -38,3 +38,19 @@ def set_table(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
         row = df.agg(F.lit(name).alias("op"), F.count("*").alias("n"), F.coalesce(F.sum(key), F.lit(0)).alias("id_sum"))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def reindexed(df: DataFrame, keys: DataFrame, key: str, fill: dict[str, object]) -> DataFrame:
+    """A row for each key of keys, in place of df's own set of keys; what is missing takes its fill value."""
+    return keys.select(key).distinct().join(df, key, "left").fillna(fill)
+
+
+def full_row_dedup(df: DataFrame) -> DataFrame:
+    """Each distinct row once; nulls equal nulls."""
+    return df.distinct()
+
+
+def aligned(df: DataFrame, like: DataFrame) -> DataFrame:
+    """df with the columns of like, in its order and types; columns that df lacks are null, further ones go."""
+    have = {c.lower(): c for c in df.columns}
+    return df.select(*[(F.col(f"`{have[f.name.lower()]}`") if f.name.lower() in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in like.schema.fields])

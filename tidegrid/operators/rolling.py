@@ -29,6 +29,16 @@ def rows_spec(entity: str, ts: str, n: int) -> WindowSpec:
     return W.partitionBy(entity).orderBy(ts).rowsBetween(-(n - 1), 0)
 
 
+def range_sum_before(value: str, entity: str, ts: str, hours: int) -> Column:
+    """The sum over [t - hours, t), the row itself left out; null without readings."""
+    return F.expr(f"sum({value}) OVER (PARTITION BY {entity} ORDER BY {ts} RANGE BETWEEN INTERVAL '{hours // 24} {hours % 24}:00:00.000000' DAY TO SECOND PRECEDING AND INTERVAL '0 0:00:00.000001' DAY TO SECOND PRECEDING)")
+
+
+def row_frame(aggregate: Column, entity: str, ts: str, n: int) -> Column:
+    """An aggregate over the last n rows, this one included."""
+    return aggregate.over(rows_spec(entity, ts, n))
+
+
 def rows_slope(df: DataFrame, value: str, entity: str, ts: str, n: int, name: str) -> DataFrame:
     """Slope per row over the last n rows, from two readings on."""
     w = rows_spec(entity, ts, n)

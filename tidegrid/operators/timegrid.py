@@ -43,3 +43,9 @@ def burst_events(df: DataFrame, entity: str, ts: str, row: str, gap: str = "10 M
     marked = df.where(F.col(ts).isNotNull()).withColumn("_new", fresh.cast("int"))
     numbered = marked.withColumn("event_no", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
     return numbered.withColumn("event_size", F.count("*").over(W.partitionBy(entity, "event_no")))
+
+
+def burst_summary(events: DataFrame, entity: str, ts: str) -> DataFrame:
+    """entity, events, rows, longest_minutes, ratio (rows per event) of burst_events' rows."""
+    one = events.groupBy(entity, "event_no").agg(F.count("*").alias("n"), ((F.unix_micros(F.max(ts).cast("timestamp")) - F.unix_micros(F.min(ts).cast("timestamp"))) / 6e7).alias("minutes"))
+    return one.groupBy(entity).agg(F.count("*").alias("events"), F.sum("n").alias("rows"), F.max("minutes").alias("longest_minutes"), (F.sum("n") / F.count("*")).alias("ratio"))

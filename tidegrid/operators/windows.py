@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.compat import order_key
+from ..functions.prefix import ranked
 
 
 def indexed(df: DataFrame, entity: str, ts: str, abnormal: Column) -> DataFrame:
@@ -53,17 +54,39 @@ def sample_n(df: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
 
 def balanced(df: DataFrame, label: str, seed: int, *keys: str) -> DataFrame:
     """As many rows of label 0 as of label 1: the smaller class whole, the other by random order."""
-    sizes = df.groupBy(label).count()
-    n = sizes.where(F.col(label).isin(0, 1)).agg(F.when(F.count("*") == 2, F.min("count")).otherwise(0).alias("_n"))
-    rank = F.row_number().over(W.partitionBy(label).orderBy(order_key(seed, *keys), *keys))
-    return df.where(F.col(label).isin(0, 1)).withColumn("_rank", rank).crossJoin(F.broadcast(n)).where("_rank <= _n").drop("_rank", "_n")  # n is one row
+    x = ranked(df.where(F.col(label).isin(0, 1)), [label], order_key(seed, *keys), *keys)
+    n = df.where(F.col(label).isin(0, 1)).groupBy(label).count().agg(F.when(F.count("*") == 2, F.min("count")).otherwise(0).alias("_n"))
+    return x.crossJoin(F.broadcast(n)).where("_rank <= _n").drop("_rank", "_rank_all", "_n")  # n is one row
+
+
+def balanced_first(df: DataFrame, label: str, order: list[str], seed: int, *keys: str) -> DataFrame:
+    """The first n rows of label 1 by order, and n rows of label 0 by random order; n is the smaller class. Both stay in order."""
+    pos, neg = df.where(F.col(label) == 1), df.where(F.col(label) == 0)
+    n = min(pos.count(), neg.count())
+    return pos.orderBy(*order).limit(n).unionByName(neg.orderBy(order_key(seed, *keys), *keys).limit(n))
+
+
+def mixed_train(df: DataFrame, label: str, entity: str, seed: int, *keys: str) -> DataFrame:
+    """A balanced sample whose rows of label 0 come from entities with rows of label 1 only; ValueError if one class is empty."""
+    own = df.where(F.col(label) == 1).select(entity).distinct()
+    x = df.where(F.col(label).isin(0, 1)).join(own, entity, "left_semi")
+    found = {r[label] for r in x.select(label).distinct().collect()}
+    if found != {0, 1}:
+        raise ValueError("no windows of label " + ", ".join(str(k) for k in (0, 1) if k not in found))
+    return balanced(x, label, seed, *keys)
+
+
+def without_history(df: DataFrame, entity: str, levels: list[str]) -> DataFrame:
+    """The rows of entities in which none of the level columns is ever above 0."""
+    seen = reduce(lambda a, b: a | b, [F.col(c) > 0 for c in levels])
+    return df.join(df.where(seen).select(entity).distinct(), entity, "left_anti")
 
 
 def downsample(df: DataFrame, label: str, ratio: int, seed: int, *keys: str) -> DataFrame:
     """All rows of label 1 and at most ratio times as many of label 0."""
     n = df.agg((F.count(F.when(F.col(label) == 1, 1)) * ratio).alias("_n"))
-    rank = F.row_number().over(W.partitionBy(label).orderBy(order_key(seed, *keys), *keys))
-    return df.withColumn("_rank", rank).crossJoin(F.broadcast(n)).where((F.col(label) == 1) | (F.col("_rank") <= F.col("_n"))).drop("_rank", "_n")
+    x = ranked(df, [label], order_key(seed, *keys), *keys)
+    return x.crossJoin(F.broadcast(n)).where((F.col(label) == 1) | (F.col("_rank") <= F.col("_n"))).drop("_rank", "_rank_all", "_n")
 
 
 def per_entity_limit(df: DataFrame, entity: str, n: int, seed: int, *keys: str) -> DataFrame:
@@ -71,11 +94,15 @@ def per_entity_limit(df: DataFrame, entity: str, n: int, seed: int, *keys: str)
     return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 
-def reserved_split(entities: DataFrame, entity: str, actionable: str, seed: int, val_n: int, test_n: int, share: float) -> DataFrame:
-    """split of each entity: the first val_n actionable to val, the next test_n to test; of the others share each; the rest train."""
-    w = W.partitionBy(actionable).orderBy(order_key(seed, entity), entity)
+def reserved_split(entities: DataFrame, entity: str, actionable: str, seed: int, val_n: int, test_n: int, share: float, short_ok: bool = False) -> DataFrame:
+    """split of each entity: the first val_n actionable to val, the next test_n to test; of the others share each; the rest train.
+
+    ValueError if there are fewer than val_n + test_n actionable entities, unless short_ok.
+    """
     x = entities.select(entity, F.col(actionable).cast("int").alias(actionable))
-    x = x.select("*", F.row_number().over(w).alias("_r"), F.count("*").over(W.partitionBy(actionable)).alias("_n"))
+    if not short_ok and (n := x.where(F.col(actionable) == 1).limit(val_n + test_n).count()) < val_n + test_n:
+        raise ValueError(f"too few actionable entities: {n} of {val_n + test_n}")
+    x = ranked(x, [actionable], order_key(seed, entity), entity).withColumnsRenamed({"_rank": "_r", "_rank_all": "_n"})
     cut = F.floor(F.col("_n") * share)
     name = (
         F.when((F.col(actionable) == 1) & (F.col("_r") <= val_n), "val").when((F.col(actionable) == 1) & (F.col("_r") <= val_n + test_n), "test")
@@ -86,9 +113,7 @@ def reserved_split(entities: DataFrame, entity: str, actionable: str, seed: int,
 
 def share_split(entities: DataFrame, entity: str, seed: int, shares: dict[str, float]) -> DataFrame:
     """split by shares of the reproducible random order; the last name takes the rest."""
-    w = W.orderBy(order_key(seed, entity), entity)  # one row per entity
-    x = entities.select(entity).distinct().select(entity, F.row_number().over(w).alias("_r"))
-    x = x.crossJoin(F.broadcast(x.agg(F.count("*").alias("_n"))))
+    x = ranked(entities.select(entity).distinct(), [], order_key(seed, entity), entity).withColumnsRenamed({"_rank": "_r", "_rank_all": "_n"})
     done, name, names = 0.0, None, list(shares)
     for k in names[:-1]:
         done += shares[k]

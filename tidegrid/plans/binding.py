@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 READINGS = """SELECT event_id AS id, user_id AS senior_id, ts AS date,
-  CASE event_type WHEN 'click' THEN 'Heartrate' WHEN 'view' THEN 'BloodPressure' WHEN 'purchase' THEN 'Temperature' ELSE 'Steps' END AS type,
+  CASE event_type WHEN 'click' THEN 'Heartrate' WHEN 'view' THEN 'BloodPressure' WHEN 'purchase' THEN CASE WHEN event_id % 3 = 0 THEN 'Saturation' ELSE 'Temperature' END ELSE 'Steps' END AS type,
   value, CASE WHEN event_type = 'view' THEN 60 + value END AS sbp,
   CASE WHEN event_type = 'view' THEN CAST(40 + event_id % 60 AS DOUBLE) END AS dbp
 FROM events WHERE event_type <> 'error'"""

@@ -13,7 +13,7 @@ from .binding import ALARMS, CONDITIONS, NOTES, PEOPLE, READINGS, bound
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 SEED = 42
-KINDS = {"Heartrate": "heartrate", "BloodPressure": "sbp", "Temperature": "temperature", "Steps": "steps"}
+KINDS = {"Heartrate": "heartrate", "BloodPressure": "sbp", "Temperature": "temperature", "Steps": "steps", "Saturation": "saturation"}
 
 
 def query(sql: str | None = None):
@@ -48,7 +48,7 @@ def _buckets(spark, d, width="1 HOUR"):
     return timegrid.bucketed(_readings(spark, d), "senior_id", "date", width, [
         F.avg(_when("Temperature", "value")).alias("temperature"), F.avg(_when("Heartrate", "value")).alias("heartrate"),
         sbp.alias("sbp"), dbp.alias("dbp"), F.when(dbp < sbp, sbp - dbp).alias("pulse_pressure"),
-        F.sum(_when("Steps", "value")).alias("_steps"),
+        F.sum(_when("Steps", "value")).alias("_steps"), F.avg(_when("Saturation", "value")).alias("saturation"), F.max(_when("Saturation", "date")).alias("latest_saturation"),
         F.max(_when("Temperature", "date")).alias("latest_temperature"), F.max(_when("Heartrate", "date")).alias("latest_heartrate"),
         F.max(_when("BloodPressure", "date")).alias("latest_sbp"), F.max(_when("Steps", "date")).alias("latest_steps"),
     ]).withColumn("steps", F.coalesce("_steps", F.lit(0.0))).drop("_steps")
@@ -68,7 +68,7 @@ BUCKETS = f"""{M}, b AS (SELECT senior_id, time_bucket(INTERVAL '1 hour', date)
   avg(CASE WHEN type = 'BloodPressure' THEN sbp END) AS sbp, avg(CASE WHEN type = 'BloodPressure' THEN dbp END) AS dbp,
   CASE WHEN avg(CASE WHEN type = 'BloodPressure' THEN dbp END) < avg(CASE WHEN type = 'BloodPressure' THEN sbp END)
        THEN avg(CASE WHEN type = 'BloodPressure' THEN sbp END) - avg(CASE WHEN type = 'BloodPressure' THEN dbp END) END AS pulse_pressure,
-  sum(CASE WHEN type = 'Steps' THEN value ELSE 0 END) AS steps,
+  sum(CASE WHEN type = 'Steps' THEN value ELSE 0 END) AS steps, avg(CASE WHEN type = 'Saturation' THEN value END) AS saturation, max(CASE WHEN type = 'Saturation' THEN date END) AS latest_saturation,
   max(CASE WHEN type = 'Temperature' THEN date END) AS latest_temperature, max(CASE WHEN type = 'Heartrate' THEN date END) AS latest_heartrate,
   max(CASE WHEN type = 'BloodPressure' THEN date END) AS latest_sbp, max(CASE WHEN type = 'Steps' THEN date END) AS latest_steps
   FROM m GROUP BY 1, 2)"""
@@ -132,14 +132,18 @@ def burst_events(spark, d):
     return timegrid.burst_events(_t(spark, d, "events").where("event_type = 'error'"), "user_id", "ts", "event_id", "24 HOURS").select("event_id", "user_id", "event_no", "event_size")
 
 
-LABELS = f"""{GRID}, al AS ({ALARMS}), l AS (SELECT g.senior_id, g.bucket,
+def _labels_sql(alarms: str) -> str:
+    span = "al.severity = {0} AND al.alert_date > g.bucket AND al.alert_date <= g.bucket + INTERVAL 4 HOUR"
+    return f"""{GRID}, al AS ({alarms}), l AS (SELECT g.senior_id, g.bucket,
   count(CASE WHEN al.severity IN (1, 2, 3) AND al.alert_date >= g.bucket - INTERVAL 48 HOUR AND al.alert_date < g.bucket THEN 1 END) AS recent_event_burden,
-  max(CASE WHEN al.severity = 1 AND al.alert_date > g.bucket AND al.alert_date <= g.bucket + INTERVAL 4 HOUR THEN 1 ELSE 0 END) AS label_1,
-  max(CASE WHEN al.severity = 2 AND al.alert_date > g.bucket AND al.alert_date <= g.bucket + INTERVAL 4 HOUR THEN 1 ELSE 0 END) AS label_2,
-  max(CASE WHEN al.severity = 3 AND al.alert_date > g.bucket AND al.alert_date <= g.bucket + INTERVAL 4 HOUR THEN 1 ELSE 0 END) AS label_3
+  {", ".join(f"max(CASE WHEN {span.format(k)} THEN 1 ELSE 0 END) AS label_{k}" for k in (1, 2, 3))}
   FROM g LEFT JOIN al ON al.senior_id = g.senior_id AND al.alert_date >= g.bucket - INTERVAL 48 HOUR AND al.alert_date <= g.bucket + INTERVAL 4 HOUR GROUP BY 1, 2)"""
 
 
+LABELS = _labels_sql(ALARMS)
+COMPRESSED = f"SELECT alert_id, senior_id, alert_date, severity FROM (SELECT *, lag(alert_date) OVER (PARTITION BY senior_id ORDER BY alert_date, alert_id) AS before FROM ({ALARMS})) WHERE before IS NULL OR alert_date > before + INTERVAL 10 MINUTE"
+
+
 def _labelled(spark, d):
     return horizon.burden_and_labels(_grid(spark, d), _alarms(spark, d), "senior_id", "bucket", "alert_date", "severity")
 
@@ -401,7 +405,7 @@ def balanced_sample(spark, d):
  SELECT senior_id, actionable, CASE WHEN actionable = 1 AND r <= 20 THEN 'val' WHEN actionable = 1 AND r <= 40 THEN 'test' WHEN actionable = 0 AND r <= floor(n * 0.05) THEN 'val' WHEN actionable = 0 AND r <= 2 * floor(n * 0.05) THEN 'test' ELSE 'train' END AS split FROM r""")
 def split_entities(spark, d):
     e = _alarms(spark, d).groupBy("senior_id").agg(F.max(F.when(F.col("severity") >= 2, 1).otherwise(0)).alias("actionable"))
-    return windows.reserved_split(e, "senior_id", "actionable", SEED, 20, 20, 0.05)
+    return windows.reserved_split(e, "senior_id", "actionable", SEED, 20, 20, 0.05, short_ok=True)
 
 
 @query(f"{INDEXED}, q AS (SELECT *, max(greatest(3 * label_3, 2 * label_2, label_1)) OVER (PARTITION BY senior_id ORDER BY pos ROWS BETWEEN {L} FOLLOWING AND {2 * L - 1} FOLLOWING) AS severity FROM z) SELECT senior_id, pos, severity FROM q WHERE pos % 4 = 0 AND pos + {2 * L} <= nrows")
@@ -557,32 +561,108 @@ def as_of_join(spark, d):
     return rolling.as_of(ev.where("event_type = 'error'").select("event_id", "user_id", "ts"), clicks, "user_id", "ts", ["last_click"]).select("event_id", "last_click")
 
 
-RISKS = ["cardiovascular", "metabolic_endocrine", "neurological"]
+TIMERS = {"temperature": "temperature", "heartrate": "heartrate", "sbp": "sbp", "dbp": "sbp", "pulse_pressure": "sbp", "steps": "steps", "saturation": "saturation"}
+MEASURED = ["temperature", "heartrate", "sbp", "dbp", "pulse_pressure", "steps", "saturation"]
+FLAG_NAMES = {x: "other" if x == classify.OTHER else x for x in LABELS_ALL}
+SINCE = "date_diff('minute', max(latest_{0}) OVER (PARTITION BY senior_id ORDER BY bucket ROWS UNBOUNDED PRECEDING), bucket) AS time_since_last_{1}"
 
 
-@query(f"""{LABELS}, s AS (SELECT g.*, stddev_samp(heartrate) {W4.format('4 HOUR')} AS vol, regr_slope(sbp, epoch(bucket)) {W4.format('3 HOUR')} AS slope, sum(coalesce(steps, 0)) {W4.format('6 HOUR')} AS s6,
- {', '.join(LAST.format(k) for k in KINDS.values())} FROM g), c AS ({CONDITIONS}), dn AS (SELECT id, trim(x) AS disease FROM (SELECT id, unnest(string_split(disease_names, ',')) AS x FROM c) WHERE trim(x) <> ''), k AS (SELECT id, {_cases('disease')} AS category FROM dn),
- rp AS (SELECT id, {', '.join(f'max(CASE WHEN category = {chr(39)}{x}{chr(39)} THEN 1 ELSE 0 END) AS {x}' for x in RISKS)} FROM k GROUP BY 1), pe AS ({PEOPLE})
- SELECT s.senior_id, strftime(s.bucket, '%Y-%m-%d %H:%M:%S') AS bucket, round(temperature, 4) AS temperature, round(heartrate, 4) AS heartrate, round(sbp, 4) AS sbp, round(dbp, 4) AS dbp, round(pulse_pressure, 4) AS pulse_pressure, round(coalesce(steps, 0), 4) AS steps,
+@query(f"""{_labels_sql(COMPRESSED)}, s AS (SELECT g.*, stddev_samp(heartrate) {W4.format('4 HOUR')} AS vol, regr_slope(sbp, epoch(bucket)) {W4.format('3 HOUR')} AS slope, sum(coalesce(steps, 0)) {W4.format('6 HOUR')} AS s6,
+ {', '.join(SINCE.format(v, k) for k, v in TIMERS.items())} FROM g), c AS ({CONDITIONS}), dn AS (SELECT id, trim(x) AS disease FROM (SELECT id, unnest(string_split(disease_names, ',')) AS x FROM c) WHERE trim(x) <> ''), k AS (SELECT id, {_cases('disease')} AS category FROM dn),
+ rp AS (SELECT id, {', '.join(f'max(CASE WHEN category = {chr(39)}{x}{chr(39)} THEN 1 ELSE 0 END) AS {x}' for x in LABELS_ALL)} FROM k GROUP BY 1), pe AS ({PEOPLE})
+ SELECT strftime(s.bucket, '%Y-%m-%d %H:%M:%S') AS timestamp, {', '.join(f'round({"coalesce(steps, 0)" if c == "steps" else c}, 4) AS {c}' for c in MEASURED)}, s.senior_id,
  round(vol, 4) AS hr_volatility, round(CASE WHEN isnan(slope) THEN NULL ELSE slope END * 3600, 4) AS bp_trend, CAST(hour(s.bucket) AS INT) AS hour, round(sin(2 * pi() * hour(s.bucket) / 24.0), 6) AS hour_sin, round(cos(2 * pi() * hour(s.bucket) / 24.0), 6) AS hour_cos,
- CASE WHEN hour(s.bucket) BETWEEN 0 AND 5 THEN 1 ELSE 0 END AS is_night, round(s6, 4) AS steps_rolling_sum_6h, {', '.join(f'since_{x}' for x in KINDS.values())}, {', '.join(f'coalesce({x}, 0) AS {x}' for x in RISKS)},
+ CASE WHEN hour(s.bucket) BETWEEN 0 AND 5 THEN 1 ELSE 0 END AS is_night, round(s6, 4) AS steps_rolling_sum_6h, {', '.join(f'time_since_last_{x}' for x in TIMERS)}, {', '.join(f'coalesce({x}, 0) AS {y}' for x, y in FLAG_NAMES.items())},
  pe.age, CASE WHEN lower(gender) LIKE 'k%' OR lower(gender) LIKE 'f%' THEN 1 WHEN lower(gender) LIKE 'm%' THEN 0 END AS gender, round(CASE WHEN dbp <> 0 THEN heartrate / dbp END, 4) AS shock_index, CAST(extract(dow FROM s.bucket) AS INT) AS day_of_week,
  l.recent_event_burden, l.label_1, l.label_2, l.label_3 FROM s JOIN l ON s.senior_id = l.senior_id AND s.bucket = l.bucket LEFT JOIN rp ON rp.id = s.senior_id LEFT JOIN pe ON pe.id = s.senior_id""")
 def feature_matrix(spark, d):
-    g = _labelled(spark, d)
+    """All 42 columns of the model's input; burden and labels are of alarms after burst compression."""
+    alarms = timegrid.compress_bursts(_alarms(spark, d), "senior_id", "alert_date", "alert_id")
+    g = horizon.burden_and_labels(_grid(spark, d), alarms, "senior_id", "bucket", "alert_date", "severity")
     g = rolling.range_slope(g, "sbp", "senior_id", "bucket", "3 HOUR", "slope")
-    timers = rolling.since_last({f"since_{k}": f"latest_{k}" for k in KINDS.values()}, "senior_id", "bucket")
+    timers = rolling.since_last({f"time_since_last_{k}": f"latest_{v}" for k, v in TIMERS.items()}, "senior_id", "bucket")
     hour = F.hour("bucket")
     turn = 2 * F.pi() * hour / 24.0
-    risks = classify.flags(_diseases(spark, d).withColumn("category", classify.category(F.col("disease"))), "id", "category", RISKS)
+    risks = classify.flags(_diseases(spark, d).withColumn("category", classify.category(F.col("disease"))), "id", "category", LABELS_ALL)
     people = bound(spark, d, PEOPLE).select("id", "age", clean.gender_code(F.col("gender")).alias("gender"))
     x = g.select(
-        "senior_id", "bucket", "temperature", "heartrate", "sbp", "dbp", "pulse_pressure", F.coalesce("steps", F.lit(0.0)).alias("steps"),
+        "senior_id", "bucket", *[F.coalesce(c, F.lit(0.0)).alias(c) if c == "steps" else c for c in MEASURED],
         F.round(rolling.range_std("heartrate", "senior_id", "bucket", "4 HOUR"), 4).alias("hr_volatility"), F.round(nan_to_null("slope") * 3600, 4).alias("bp_trend"),
         hour.alias("hour"), F.round(F.sin(turn), 6).alias("hour_sin"), F.round(F.cos(turn), 6).alias("hour_cos"), F.when(hour.between(0, 5), 1).otherwise(0).alias("is_night"),
         F.round(rolling.range_sum("steps", "senior_id", "bucket", "6 HOUR"), 4).alias("steps_rolling_sum_6h"), *[c.alias(k) for k, c in timers.items()],
         F.round(safe_div("heartrate", "dbp"), 4).alias("shock_index"), dow_sunday0("bucket").alias("day_of_week"), "recent_event_burden", "label_1", "label_2", "label_3",
     )
     x = x.join(risks.withColumnRenamed("id", "senior_id"), "senior_id", "left").join(people.withColumnRenamed("id", "senior_id"), "senior_id", "left")
-    first = ["senior_id", _at(), *[_r(c) for c in ("temperature", "heartrate", "sbp", "dbp", "pulse_pressure", "steps")], "hr_volatility", "bp_trend", "hour", "hour_sin", "hour_cos", "is_night", "steps_rolling_sum_6h"]
-    return x.select(*first, *timers, *[F.coalesce(c, F.lit(0)).alias(c) for c in RISKS], "age", "gender", "shock_index", "day_of_week", "recent_event_burden", "label_1", "label_2", "label_3")
+    first = [truncated_text("bucket").alias("timestamp"), *[_r(c) for c in MEASURED], "senior_id", "hr_volatility", "bp_trend", "hour", "hour_sin", "hour_cos", "is_night", "steps_rolling_sum_6h"]
+    flags = [F.coalesce(c, F.lit(0)).alias(name) for c, name in FLAG_NAMES.items()]
+    return x.select(*first, *timers, *flags, "age", "gender", "shock_index", "day_of_week", "recent_event_burden", "label_1", "label_2", "label_3")
+
+
+@query(f"{GRID} SELECT senior_id, {AT}, round(sum(steps) OVER (PARTITION BY senior_id ORDER BY bucket RANGE BETWEEN INTERVAL 48 HOUR PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING), 4) AS steps_48h FROM g")
+def rolling_sum_48h_left(spark, d):
+    """The sum over [t - 48 h, t)."""
+    return _grid(spark, d).select("senior_id", _at(), F.round(rolling.range_sum_before("steps", "senior_id", "bucket", 48), 4).alias("steps_48h"))
+
+
+ROWS = "OVER (PARTITION BY senior_id ORDER BY bucket ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
+
+
+@query(f"""{GRID} SELECT senior_id, {AT}, round(CASE WHEN count(heartrate) {ROWS.format(15)} >= 2 THEN stddev_samp(heartrate) {ROWS.format(15)} END, 4) AS std_16, round(sum(steps) {ROWS.format(23)}, 4) AS sum_24, round(avg(sbp) {ROWS.format(23)}, 4) AS mean_24 FROM g""")
+def row_frame_stats(spark, d):
+    x = lambda f, n: rolling.row_frame(f, "senior_id", "bucket", n)
+    return _grid(spark, d).select("senior_id", _at(), F.round(x(F.stddev_samp("heartrate"), 16), 4).alias("std_16"), F.round(x(F.sum("steps"), 24), 4).alias("sum_24"), F.round(x(F.avg("sbp"), 24), 4).alias("mean_24"))
+
+
+@query("""WITH x AS (SELECT user_id, event_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts > lag(ts) OVER w + INTERVAL 24 HOUR THEN 1 ELSE 0 END AS fresh FROM events WHERE event_type = 'error' WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+ y AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS event_no FROM x), z AS (SELECT user_id, event_no, count(*) AS n, (epoch_us(max(ts)) - epoch_us(min(ts))) / 6e7 AS minutes FROM y GROUP BY 1, 2)
+ SELECT user_id, count(*) AS events, CAST(sum(n) AS BIGINT) AS rows, round(max(minutes), 4) AS longest_minutes, round(sum(n) / count(*), 6) AS ratio FROM z GROUP BY 1""")
+def burst_summary(spark, d):
+    x = timegrid.burst_events(_t(spark, d, "events").where("event_type = 'error'"), "user_id", "ts", "event_id", "24 HOURS")
+    return timegrid.burst_summary(x, "user_id", "ts").withColumn("longest_minutes", F.round("longest_minutes", 4)).withColumn("ratio", F.round("ratio", 6))
+
+
+@query(f"""WITH a AS ({ALARMS}), m AS ({READINGS}), s AS (SELECT a.senior_id, a.alert_id, count(DISTINCT epoch(m.date)::BIGINT // 3600) AS n FROM a JOIN m ON m.senior_id = a.senior_id AND m.date >= a.alert_date - INTERVAL 240 HOUR AND m.date < a.alert_date WHERE a.severity = 3 GROUP BY 1, 2)
+ SELECT DISTINCT senior_id FROM s WHERE n / 240.0 > 0.04""")
+def gold_local_density(spark, d):
+    """Entities with a severe alarm before which enough slots hold readings (here: hours of ten days)."""
+    return cohort.dense_before(_alarms(spark, d).where("severity = 3"), _readings(spark, d), "senior_id", "alert_date", "date", "alert_id", 240, 0.04, 1)
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def full_row_dedup(spark, d):
+    return relational.full_row_dedup(_t(spark, d, "events").select("user_id", "event_type"))
+
+
+@query("WITH e AS (SELECT user_id AS id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1) SELECT c_custkey AS id, coalesce(n, 0) AS n FROM customer LEFT JOIN e ON c_custkey = e.id")
+def reindex_fill(spark, d):
+    n = _t(spark, d, "events").where("event_type = 'error'").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("n"))
+    return relational.reindexed(n, _t(spark, d, "customer").select(F.col("c_custkey").alias("id")), "id", {"n": 0})
+
+
+@query(f"{INDEXED}, h AS (SELECT senior_id FROM z GROUP BY 1 HAVING max(greatest(label_2, label_3)) = 0), q AS (SELECT *, sum(abn) OVER (PARTITION BY senior_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {L - 1} FOLLOWING) AS bad FROM z) SELECT senior_id, pos FROM q JOIN h USING (senior_id) WHERE pos % 11 = 0 AND pos + {L} <= nrows AND bad = 0")
+def windows_train_clean(spark, d):
+    """Training windows of entities that never have a level 2 or 3 label."""
+    x = windows.without_history(_indexed(spark, d), "senior_id", ["label_2", "label_3"])
+    return windows.normal_starts(x, "senior_id", "bucket", L, 11).select("senior_id", F.col("pos").cast("long").alias("pos"))
+
+
+KEY = f"md5(concat_ws('|', CAST(senior_id AS VARCHAR), CAST(pos AS VARCHAR), '{SEED}')), senior_id, pos"
+
+
+@query(f"""{TARGETS}, c AS (SELECT least(count(CASE WHEN label = 1 THEN 1 END), count(CASE WHEN label = 0 THEN 1 END)) AS n FROM tg), k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY senior_id, pos) AS fo, row_number() OVER (PARTITION BY label ORDER BY {KEY}) AS rk FROM tg)
+ SELECT senior_id, pos, label FROM k, c WHERE CASE WHEN label = 1 THEN fo ELSE rk END <= n""")
+def balanced_first(spark, d):
+    return windows.balanced_first(_targets(spark, d), "label", ["senior_id", "pos"], SEED, "senior_id", "pos").select("senior_id", F.col("pos").cast("long").alias("pos"), "label")
+
+
+@query(f"""{TARGETS}, w2 AS (SELECT tg.* FROM tg WHERE senior_id IN (SELECT senior_id FROM tg WHERE label = 1)), c AS (SELECT least(count(CASE WHEN label = 1 THEN 1 END), count(CASE WHEN label = 0 THEN 1 END)) AS n FROM w2), k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {KEY}) AS rk FROM w2)
+ SELECT senior_id, pos, label FROM k, c WHERE rk <= n""")
+def mixed_train(spark, d):
+    return windows.mixed_train(_targets(spark, d), "label", "senior_id", SEED, "senior_id", "pos").select("senior_id", F.col("pos").cast("long").alias("pos"), "label")
+
+
+@query("SELECT quality, count(*) AS n, round((1.0 / count(*)) / sum(1.0 / count(*)) OVER (), 6) AS inverse, round((sum(count(*)) OVER () - count(*)) / count(*), 6) AS ratio FROM labels GROUP BY 1")
+def class_weight_variants(spark, d):
+    x = _t(spark, d, "labels")
+    one = metrics.class_weights(x, "quality", "inverse").select("quality", "n", F.round("weight", 6).alias("inverse"))
+    return one.join(metrics.class_weights(x, "quality", "ratio").select("quality", F.round("weight", 6).alias("ratio")), "quality")
