@@ -1,7 +1,7 @@
 """Licence scans by sparse TF-IDF cosine, with inheritance along directories; DataFrame operations only.
 
-Every line and every paragraph (lines between blank ones) of a file is a candidate header; the whole text of a licence
-file (LICENSE, LICENCE, COPYING, NOTICE) is one more unit. A unit's vector holds, for each term, how often the unit
+Every line of a file, and every paragraph where blank lines part it into several, is a candidate header; the whole text
+of a licence file (LICENSE, LICENCE, COPYING, NOTICE) is one more unit. A unit's vector holds, for each term, how often the unit
 has it times its idf ``ln((1 + N) / (1 + df)) + 1``, with document frequencies of all terms counted over all documents;
 so does a template's. The best template at or above the threshold names the licence (ties: the first by name).
 
@@ -77,8 +77,9 @@ def own_licences(docs: DataFrame, id_col: str, text_col: str, path_col: str, thr
     text = F.col(text_col).cast("string")
     hit = docs.where(F.arrays_overlap(_terms(text), telling)).select(F.col(id_col).alias("_id"), F.col(path_col).cast("string").alias("_path"), text.alias("_text"))
     named = F.regexp_extract(F.col("_path"), r"[^/]*$", 0).rlike(LICENCE_FILE)
-    units = F.concat(F.split(F.col("_text"), "\n"), F.split(F.col("_text"), PARAGRAPHS), F.when(named, F.array("_text")).otherwise(F.array().cast("array<string>")))
-    units = hit.select("_id", F.explode(F.array_distinct(units)).alias("_unit")).select("_id", F.md5("_unit").alias("_u"), _terms(F.col("_unit")).alias("_terms"))
+    none = F.array().cast("array<string>")
+    units = F.concat(F.split(F.col("_text"), "\n"), F.when(F.col("_text").rlike(PARAGRAPHS), F.split(F.col("_text"), PARAGRAPHS)).otherwise(none), F.when(named, F.array("_text")).otherwise(none))
+    units = hit.select("_id", F.explode(F.array_distinct(units)).alias("_unit")).select("_id", F.xxhash64("_unit").alias("_u"), _terms(F.col("_unit")).alias("_terms"))
     units = units.where(F.arrays_overlap("_terms", telling)).dropDuplicates(["_id", "_u"])
     counts = units.select("_id", "_u", F.explode("_terms").alias("term")).where("term <> ''").groupBy("_id", "_u", "term").agg(F.count("*").alias("tf"))
     weighed = counts.join(frequencies, "term").withColumn("w", F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).withColumn("x", F.col("tf") * F.col("w"))

@@ -64,7 +64,7 @@ def licence_scan(path_sql: str, threshold: float = 0.6) -> str:
  f AS (SELECT *, regexp_matches(regexp_extract(path, '[^/]*$'), {names}) AS named, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS folder FROM d),
  df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({cut("coalesce(text, '')")})) AS term FROM d) GROUP BY 1), n AS (SELECT count(*) AS n FROM d),
  idf AS (SELECT term, ln((1 + n) / (1 + coalesce(df, 0))) + 1 AS w FROM (SELECT term FROM tt UNION SELECT term FROM df) LEFT JOIN df USING (term) CROSS JOIN n),
- u AS (SELECT DISTINCT doc_id, unnest(list_concat(string_split(text, chr(10)), string_split_regex(text, '{PARAGRAPHS}'), CASE WHEN named THEN [text] ELSE [] END)) AS unit FROM f WHERE text IS NOT NULL),
+ u AS (SELECT DISTINCT doc_id, unnest(list_concat(string_split(text, chr(10)), CASE WHEN regexp_matches(text, '{PARAGRAPHS}') THEN string_split_regex(text, '{PARAGRAPHS}') ELSE [] END, CASE WHEN named THEN [text] ELSE [] END)) AS unit FROM f WHERE text IS NOT NULL),
  ut AS (SELECT row_number() OVER () AS k, doc_id, {cut('unit')} AS terms FROM u), ux AS (SELECT k, doc_id, term, count(*) * max(w) AS x FROM (SELECT k, doc_id, unnest(terms) AS term FROM ut) JOIN idf USING (term) GROUP BY 1, 2, 3),
  nm AS (SELECT k, any_value(doc_id) AS doc_id, sqrt(sum(x * x)) AS norm FROM ux GROUP BY 1),
  tx AS (SELECT i, licence, term, f * w AS y FROM tt JOIN idf USING (term)), tn AS (SELECT i, any_value(licence) AS licence, sqrt(sum(y * y)) AS norm FROM tx GROUP BY 1),
