@@ -54,7 +54,6 @@ TEMPLATES = (
     ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("LGPL-3.0", _gnu_header("Lesser General Public License", "3")),
     ("MIT", "Released under the MIT License."),
-    ("MIT", "The MIT License (MIT)"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
     ("MIT", MIT_GRANT),
     ("MIT", f"{MIT_GRANT} {MIT_TERMS} {MIT_WARRANTY}"),
