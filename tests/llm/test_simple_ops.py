@@ -1,11 +1,15 @@
 """Shards, urls, licences, lines: small cases and brute force."""
 
+import gc
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from tidegrid.llm import jaccard, licence_texts as licences, licenses, lines, shards, urls
+from tidegrid.llm import common, jaccard, licence_texts as licences, licenses, lines, shards, urls
 from tidegrid.llm.queries import URL_RULES
 
 DOCS = "doc_id long, text string, source string, pid int, n int"
@@ -146,3 +150,19 @@ def test_lines_kept_in_one_place_on_both_paths(spark):
         got = lines.clean_lines(df, broadcast_lines=limit, keep_in="doc_id").collect()
         assert sorted([(str(r["doc_id"]), r["text"], r["n_lines"]) for r in got], key=str) == want
         assert all(r["n_removed"] == r["n_lines"] - len(r["text"].split("\n")) or r["text"] == "" for r in got if r["text"] is not None)
+
+
+def test_staging_gives_the_drivers_native_memory_back(spark):
+    jvm, pid = spark._jvm, spark.sparkContext._gateway.proc.pid
+    resident = lambda: int(re.search(r"\nRss:\s+(\d+)", Path(f"/proc/{pid}/smaps_rollup").read_text())[1]) / 1024
+    rows = common.stage(spark.range(1), "small")
+    held = [jvm.java.nio.ByteBuffer.allocateDirect(65_536) for _ in range(3200)]  # 200 MB in blocks below the size that the C library maps by itself
+    kept = held[::20]  # freed blocks between held ones
+    full = resident()
+    del held
+    gc.collect()
+    for _ in range(3):
+        jvm.java.lang.System.gc()
+        time.sleep(0.5)
+    assert common.stage(rows, "small").count() == 1
+    assert kept and resident() < full - 40

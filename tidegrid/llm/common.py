@@ -11,6 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of one Arrow batch between Spark and Python, in place of Spark's default of 64 MB.
@@ -40,6 +41,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     out._staged_at = path
     gc.collect()  # the driver, too, gives back what a step has left
     _give_back()
+    _driver_gives_back(spark)
     return out
 
 
@@ -106,6 +108,27 @@ def _give_back() -> None:
         pass
 
 
+def _driver_gives_back(spark: SparkSession) -> None:
+    """The same for the driver's JVM: what compiler, codecs and buffers have freed stays in the C library's heaps otherwise.
+
+    A heap grown beyond six tenths of its bound is collected first, after which the JVM shrinks it, and Spark's cleaner
+    drops the shuffles and broadcasts that nothing refers to. JVMs without the command for trimming keep what they hold.
+    """
+    java = spark._jvm.java.lang
+    heap = java.Runtime.getRuntime()
+    if heap.totalMemory() > 0.6 * heap.maxMemory():
+        java.System.gc()
+    gateway = spark.sparkContext._gateway
+    kinds, values = gateway.new_array(java.Class, 4), gateway.new_array(java.Object, 4)
+    try:
+        for k, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[k] = java.Class.forName(name)
+        values[0], values[1] = spark._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        java.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(java.management.ManagementFactory.getPlatformMBeanServer(), values)
+    except Py4JError:  # another JVM
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
